@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from skein.llm import quality_rules, secrets, simhash
+from skein.llm import decontaminate, mixing, quality_model, quality_rules, secrets, simhash, token_files
 from skein.sources.tables import table
 
 QUERIES: dict[str, Callable] = {}
@@ -16,6 +16,21 @@ def query(f: Callable) -> Callable:
     return f
 
 
+@query
+def op1_temperature_mix(spark, d):
+    return mixing.mix(table(spark, d, "documents"), max_repeat=2.0)
+
+
+@query
+def op2_fourier_quality(spark, d):
+    return quality_model.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op3_pigeonhole_leaks(spark, d):
+    return decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 @query
 def op5_host_rules(spark, d):
     found = quality_rules.judge(table(spark, d, "documents"))
@@ -27,6 +42,11 @@ def op7_golay_simhash(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op8_bit_plane_tokens(spark, d):
+    return token_files.round_trip(table(spark, d, "documents"), token_files.default_tokenizer())
+
+
 @query
 def op10_blob_ledger(spark, d):
     return secrets.digest(secrets.scan(table(spark, d, "documents")))
