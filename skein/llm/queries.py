@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from skein.llm import decontaminate, mixing, quality_model, quality_rules, secrets, simhash, token_files
+from skein.llm import decontaminate, mixing, passages, quality_model, quality_rules, quotes, secrets, simhash, token_files
 from skein.sources.tables import table
 
 QUERIES: dict[str, Callable] = {}
@@ -50,3 +50,13 @@ def op8_bit_plane_tokens(spark, d):
 @query
 def op10_blob_ledger(spark, d):
     return secrets.digest(secrets.scan(table(spark, d, "documents")))
+
+
+@query
+def op4_quote_threads(spark, d):
+    return quotes.conversations(table(spark, d, "conversations"))
+
+
+@query
+def op6_chained_passages(spark, d):
+    return passages.repeated_passages(table(spark, d, "documents"))
