@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from skein.llm import decontaminate, mixing, passages, quality_model, quality_rules, quotes, secrets, simhash, token_files
+from skein.llm import decontaminate, licences, mixing, passages, quality_model, quality_rules, quotes, secrets, simhash, token_files
 from skein.sources.tables import table
 
 QUERIES: dict[str, Callable] = {}
@@ -60,3 +60,8 @@ def op4_quote_threads(spark, d):
 @query
 def op6_chained_passages(spark, d):
     return passages.repeated_passages(table(spark, d, "documents"))
+
+
+@query
+def op9_licence_paragraphs(spark, d):
+    return licences.scan(table(spark, d, "documents"))
