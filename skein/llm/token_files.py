@@ -163,15 +163,17 @@ class Encoder:
 
     Byte-level BPE cuts a text before each single space that stands between two
     other characters and around each single newline, and encodes the pieces apart.
-    Pieces recur, so their ids are kept (up to ``limit`` of them) and only new
-    pieces go to the library, many in one call. Texts with other white space
-    or with special tokens, and tokenizers of another make, are encoded whole.
+    Pieces recur, so their ids are kept, and only new pieces go to the library,
+    many in one call. At ``limit`` pieces the store becomes the old one, whose
+    pieces move over when they recur, so at most twice as many are held. Texts
+    with other white space or with special tokens, and tokenizers of another make,
+    are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.kept = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.kept, self.old = Tokenizer.from_file(path), limit, {}, {}
         made = json.loads(self.tokenizer.to_str())
         before = made.get("pre_tokenizer") or {}
         plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
@@ -192,11 +194,11 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode new pieces, a newline between any two; None marks those that can't stand alone."""
-        if len(self.kept) > self.limit:
-            self.kept.clear()
-        ask = []
+        ask, old = [], self.old
         for w in new:
-            if not self._apart(w):
+            if w in old:
+                self.kept[w] = old[w]
+            elif not self._apart(w):
                 self.kept[w] = None
             elif w[-1] in ".," and w[-2:-1].isalpha() and (core := self.kept.get(w[:-1])):
                 self.kept[w] = core + self._tail(w[-1])
@@ -221,6 +223,8 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.in_pieces:
             return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if len(self.kept) > self.limit:
+            self.old, self.kept = self.kept, {}
         cut, new = [], {}
         get = self.kept.get
         for text in texts:
