@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     pairs = materialise(pairs, "edges")
     before = _digest(pairs)
     if before[0] == 0:
-        return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return _labels(pairs)
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -39,11 +39,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         pairs = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _digest(pairs)
         if now == before:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return _labels(pairs)
         before = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _labels(stars: DataFrame) -> DataFrame:
+    """Every leaf with its centre, and every centre with itself."""
+    leaves = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return leaves.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
 def _digest(pairs: DataFrame) -> tuple:
     row = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return row[0], row[1]
