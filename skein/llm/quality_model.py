@@ -87,6 +87,7 @@ class Model:
         self.w = rng.normal(0, math.sqrt(2 * gamma), (len(mean), width))
         self.b = rng.uniform(0, 2 * math.pi, width)
         self.beta = np.zeros(width + 1)
+        self.blend = 0.0  # until weights are fitted
         self.knots = (np.array([0.0, 1.0]), np.array([0.5, 0.5]))
 
     def features(self, stats: np.ndarray) -> np.ndarray:
@@ -100,7 +101,7 @@ class Model:
     def score(self, stats: np.ndarray) -> np.ndarray:
         """Calibrated probability; a hundredth of the raw score keeps equal steps in order."""
         raw = self.raw(stats)
-        return np.clip(0.99 * np.interp(raw, *self.knots) + 0.01 * np.clip(raw, 0, 1), 0, 1)
+        return np.clip((1 - self.blend) * np.interp(raw, *self.knots) + self.blend * np.clip(raw, 0, 1), 0, 1)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -165,7 +166,7 @@ def fit(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     a, b = _equations(train, model)
     ridge = RIDGE * moments[0] / len(model.b) * np.eye(len(b))
     ridge[-1, -1] = 0
-    model.beta = np.linalg.solve(a + ridge, b)
+    model.beta, model.blend = np.linalg.solve(a + ridge, b), 0.01
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
