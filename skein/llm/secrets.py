@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.plans.scratch import scratch_path
+from skein.plans.scratch import materialise, scratch_path
 
 #: Kinds in the order that breaks ties, with pattern, group measured and its least length.
 BASE_RULES = (
@@ -103,6 +103,7 @@ def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", tex
     fresh = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("blob_id") == F.col("head_blob"))).select("blob_id", "text")
     scan_blobs(fresh).write.mode("append").parquet(ledger)
     done = read_ledger(spark, ledger).where(F.col("rules_version") == RULES_VERSION).select(F.col("blob_id").alias("of"), "findings").dropDuplicates(["of"])
+    done = materialise(done, "findings")  # a stored side: the join below can then split a blob that very many paths carry
     return rows.select("doc_id", "blob_id").join(done, F.col("blob_id") == F.col("of"), "left").select("doc_id", "blob_id", "findings")
 
 
