@@ -123,6 +123,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     judged = with_failures(materialise(measures(docs, id_col, text_col, host_col), "measures"))
     strict = host_verdicts(judged, strict_above).select(F.col("host").alias("verdict_host"), *[f"strict_{r}" for r in RULES])
+    strict = materialise(strict, "verdicts")  # stored, so its size is known: a small one is broadcast and no document moves
     joined = judged.join(strict, F.col("host") == F.col("verdict_host"), "left")
     failures = sum((F.col(f"fail_{r}").cast("int") for r in RULES), F.lit(0))
     condemned = F.lit(False)
