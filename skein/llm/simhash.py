@@ -207,6 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = components.join(named, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("rep").alias("least"))
     linked = components.select("node", F.col("component").alias("c")).join(least, F.col("c") == F.col("component")).select("node", "least")
     mapped = distinct.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("least", "rep").alias("component_id"))
+    mapped = materialise(mapped, "mapped")  # a stored side: the join below can then split a fingerprint that very many rows share
     return marked.join(mapped, F.col("fp") == F.col("of")).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
