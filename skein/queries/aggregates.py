@@ -32,11 +32,11 @@ def _(spark, d):
     return t.select("task", r6(F.when(flat, 0.0).otherwise(F.try_divide(F.col("a") - F.col("b"), F.col("b")))).alias("trend"))
 
 
-@query("agg_consolidate", f"""with {EP} select session_id, task, count(*) as n, round(avg(reward), 6) as reward, max(id) as last_id, string_agg(id::varchar, ',' order by id) as ids from ep
+@query("agg_consolidate", f"""with {EP} select session_id, task, count(*) as n, round(avg(reward), 9) as reward, max(id) as last_id, string_agg(id::varchar, ',' order by id) as ids from ep
     where reward >= 0.05 group by all having count(*) >= 3""")
 def _(spark, d):
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",")
-    return episodes(spark, d).where("reward >= 0.05").groupBy("session_id", "task").agg(F.count("*").alias("n"), r6(F.avg("reward")).alias("reward"), F.max("id").alias("last_id"), ids.alias("ids")).where("n >= 3")
+    return episodes(spark, d).where("reward >= 0.05").groupBy("session_id", "task").agg(F.count("*").alias("n"), F.round(F.avg("reward"), 9).alias("reward"), F.max("id").alias("last_id"), ids.alias("ids")).where("n >= 3")
 
 
 @query("agg_pattern_stats", f"with {EP} select count(*) as n, round(avg(reward), 6) as reward, count(*) filter (ts > (select max(ts) from ep) - interval 7 day) as recent, count(*) filter (reward >= 0.8) as strong from ep")
@@ -152,10 +152,10 @@ def _(spark, d):
     return episodes(spark, d).groupBy("task").agg(*[F.expr(f"percentile(value, {p})").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
 
 
-@query("agg_regression", f"with {EP} select session_id, round(regr_slope(reward, epoch_us(ts) / 8.64e10), 5) as slope, round(regr_r2(reward, epoch_us(ts) / 8.64e10), 5) as r2, round(median(reward), 6) as median, round(stddev_pop(reward), 6) as spread from ep group by 1")
+@query("agg_regression", f"with {EP} select session_id, round(regr_slope(reward, epoch_us(ts) / 8.64e10), 5) + 0.0::double as slope, round(regr_r2(reward, epoch_us(ts) / 8.64e10), 5) as r2, round(median(reward), 6) as median, round(stddev_pop(reward), 6) as spread from ep group by 1")
 def _(spark, d):
     x = F.unix_micros(F.col("ts").cast("timestamp")) / 8.64e10
-    return episodes(spark, d).groupBy("session_id").agg(F.round(F.regr_slope("reward", x), 5).alias("slope"), F.round(F.regr_r2("reward", x), 5).alias("r2"), r6(F.median("reward")).alias("median"), r6(F.stddev_pop("reward")).alias("spread"))
+    return episodes(spark, d).groupBy("session_id").agg((F.round(F.regr_slope("reward", x), 5) + F.lit(0.0)).alias("slope"), F.round(F.regr_r2("reward", x), 5).alias("r2"), r6(F.median("reward")).alias("median"), r6(F.stddev_pop("reward")).alias("spread"))
 
 
 @query("agg_pivot_metrics", f"with {EP} select session_id, count(*) filter (task = 'click') as click, count(*) filter (task = 'error') as error, count(*) filter (task = 'purchase') as purchase from ep group by 1")

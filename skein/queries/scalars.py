@@ -74,11 +74,11 @@ def _(spark, d):
     return episodes(spark, d).select("id", F.when(F.col("task") == "click", F.col("latency").cast("double")).when(F.col("success"), 1.0).otherwise(F.col("reward")).alias("outcome"))
 
 
-@query("prj_effect_direction", f"with {EP} select id, case when reward > 0.1 then 'positive' when reward < 0.1 then 'negative' else 'neutral' end as direction, round((reward - 0.1) * latency, 6) as strength from ep")
+@query("prj_effect_direction", f"with {EP} select id, case when reward > 0.1 then 'positive' when reward < 0.1 then 'negative' else 'neutral' end as direction, round((reward - 0.1) * latency, 6) + 0.0::double as strength from ep")
 def _(spark, d):
     e = episodes(spark, d)
     sign = F.when(F.col("reward") > 0.1, "positive").when(F.col("reward") < 0.1, "negative").otherwise("neutral")
-    return e.select("id", sign.alias("direction"), F.round((F.col("reward") - 0.1) * F.col("latency"), 6).alias("strength"))
+    return e.select("id", sign.alias("direction"), (F.round((F.col("reward") - 0.1) * F.col("latency"), 6) + F.lit(0.0)).alias("strength"))
 
 
 @query("prj_composite", f"with {EP} select task, round(0.4 * avg(success::int) + 0.0001 * count(*) + 0.6 * coalesce(avg(reward), 0), 6) as score from ep group by 1")

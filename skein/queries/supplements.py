@@ -212,10 +212,10 @@ def _(spark, d):
     return links(spark, d).groupBy("src").agg(listed(0, F.col("weight")).alias("prerequisites"), listed(1, -F.col("weight")).alias("alternatives"))
 
 
-@query("join_availability", "select p_partkey, s_name, round(min(l_extendedprice / l_quantity), 2) as price from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey where p_partkey < 50 group by all")
+@query("join_availability", "select p_partkey, s_name, min(l_extendedprice / l_quantity) as price from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey where p_partkey < 50 group by all")
 def _(spark, d):
     j = table(spark, d, "lineitem").join(table(spark, d, "part").where("p_partkey < 50"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return j.groupBy("p_partkey", "s_name").agg(F.round(F.min(F.col("l_extendedprice") / F.col("l_quantity")), 2).alias("price"))
+    return j.groupBy("p_partkey", "s_name").agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
 
 
 @query("rank_hybrid_onto", "with q as (select embedding::double[] as q, label as ql from embeddings where vec_id = 0) select vec_id, round(0.7 * list_cosine_similarity(embedding::double[], q) + 0.2 * (label = ql)::int + 0.1 * (label % 3 = ql % 3)::int, 6) as score from embeddings, q where vec_id <> 0")
@@ -234,7 +234,7 @@ def _(spark, d):
     return e.select("id", r6(0.6 * (F.col("reward") - a1) / (b1 - a1) + 0.4 * (1 - (F.col("latency") - a2) / (b2 - a2))).alias("score"))
 
 
-@query("rank_personalised", "select p_partkey, round(0.1 * len(string_split(p_name, ' ')) - 0.5 * contains(p_name, 'red')::int + 0.2 * contains(p_name, 'ring')::int - 0.3 * (p_size > 40)::int, 6) as score from part")
+@query("rank_personalised", "select p_partkey, round(0.1::double * len(string_split(p_name, ' ')) - 0.5 * contains(p_name, 'red')::int + 0.2 * contains(p_name, 'ring')::int - 0.3 * (p_size > 40)::int, 6) as score from part")
 def _(spark, d):
     has = lambda w: F.col("p_name").contains(w).cast("int")
     s = 0.1 * F.size(F.split("p_name", " ")) - 0.5 * has("red") + 0.2 * has("ring") - 0.3 * (F.col("p_size") > 40).cast("int")
