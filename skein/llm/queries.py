@@ -31,6 +31,30 @@ def op3_pigeonhole_leaks(spark, d):
     return decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def _prior(rule: str) -> str:
+    """Shrunk failure rate of a host for a rule, in SQL over the host sums ``h`` and their moments ``mo``."""
+    m = f"least(greatest(m_{rule}, 1e-6), 1 - 1e-6)"
+    total = f"least(greatest(case when v_{rule} > 0 then {m} * (1 - {m}) / v_{rule} - 1 else 1e4 end, 1), 1e4)"
+    return f"(n_{rule} + {m} * {total}) / (n_docs + {total}) > 0.5 as s_{rule}"
+
+
+_R = quality_rules.RULES
+SQL["op5_host_rules"] = f"""
+with w as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+tri as (select doc_id, i, [ws[i], ws[i + 1], ws[i + 2]] as t from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w)),
+rep as (select doc_id, count(distinct i + k) as n from (select doc_id, i, count(*) over (partition by doc_id, t) as c from tri), range(3) r(k) where c > 1 group by 1),
+l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from w),
+m as (select doc_id, host, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
+    len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n, 0) as n_repeat_words, len(ls) as n_lines from w join l using (doc_id) left join rep using (doc_id)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {", ".join(f"n_words > 0 and ({x}) as f_{r}" for r, x in _R.items())} from m),
+h as (select host, count(*) as n_docs, {", ".join(f"sum(f_{r}::int) as n_{r}" for r in _R)} from f group by 1),
+mo as (select {", ".join(f"avg(n_{r} / n_docs) as m_{r}, var_pop(n_{r} / n_docs) as v_{r}" for r in _R)} from h),
+s as (select host, {", ".join(map(_prior, _R))} from h, mo)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not base_failed and {" + ".join(f"f_{r}::int" for r in _R)} < 2 and not ({" or ".join(f"f_{r} and s_{r}" for r in _R)}) as kept
+from f join s using (host)"""
+
+
 @query
 def op5_host_rules(spark, d):
     found = quality_rules.judge(table(spark, d, "documents"))
