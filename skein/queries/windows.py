@@ -64,7 +64,7 @@ def _(spark, d):
 
 @query("win_running_mean", f"with {EP} select id, round(avg(reward) {SQL_S} rows unbounded preceding), 12) as mean from ep")
 def _(spark, d):
-    return episodes(spark, d).select("id", F.round(F.avg("reward").over(S().rowsBetween(Window.unboundedPreceding, 0)), 9).alias("mean"))
+    return episodes(spark, d).select("id", F.round(F.avg("reward").over(S().rowsBetween(Window.unboundedPreceding, 0)), 12).alias("mean"))
 
 
 @query("win_gini", f"with {EP}, r as (select session_id, reward, row_number() over (partition by session_id order by reward, id) as i, count(*) over (partition by session_id) as n from ep) select session_id, round(sum((2 * i - n - 1) * reward) / (any_value(n) * sum(reward)), 6) as gini from r group by 1")
