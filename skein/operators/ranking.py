@@ -89,3 +89,23 @@ def evaluate(ranked: DataFrame, k: int) -> DataFrame:
     g = top.groupBy("query").agg((F.sum(rel) / k).alias("precision"), F.coalesce(1 / F.min(F.when(rel > 0, F.col("rank"))), F.lit(0.0)).alias("mrr"), dcg.alias("d"), n.alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     return g.select("query", "precision", "mrr", F.when(F.col("n") > 0, F.col("d") / ideal).otherwise(0.0).alias("ndcg"))
+
+
+def skyline(df: DataFrame, high: str, low: str) -> DataFrame:
+    """Rows that no other row beats in one of a high and a low measure without losing in the other.
+
+    Batches are thinned to their own skylines where they lie; only these few rows meet
+    in the ordered pass, and rows that tie with a point of the skyline stay.
+    """
+    points = df.where(F.col(high).isNotNull() & F.col(low).isNotNull()).select(F.col(high).cast("double").alias("h"), F.col(low).cast("double").alias("l"))
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.sort_values(["h", "l"], ascending=[False, True])
+            before = b["l"].cummin().shift(fill_value=np.inf)
+            yield b[b["l"] < before]
+
+    best = points.mapInPandas(thin, "h double, l double").groupBy("h").agg(F.min("l").alias("l"))
+    w = Window.orderBy(F.desc("h")).rowsBetween(Window.unboundedPreceding, -1)
+    front = best.withColumn("before", F.min("l").over(w)).where("before is null or l < before").select(F.col("h").alias("__h"), F.col("l").alias("__l"))
+    return df.join(front, (F.col(high).cast("double") == F.col("__h")) & (F.col(low).cast("double") == F.col("__l")), "left_semi")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def q_learning(steps: DataFrame, alpha: float = 0.1, gamma: float = 0.9) -> DataFrame:
@@ -22,17 +23,17 @@ def q_learning(steps: DataFrame, alpha: float = 0.1, gamma: float = 0.9) -> Data
     return steps.groupBy("session").applyInPandas(run, "session long, state string, action string, q double")
 
 
-def bandit(df: DataFrame, key: str, order: Column, reward: str) -> DataFrame:
-    """``(key, n, mean, spread)``: running mean, and spread 0.9 of the old plus 0.1 of the gap, folded in order."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(reward).alias("r")))), lambda x: x["r"])
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("m"), F.lit(1.0).alias("v"))
+def bandit(df: DataFrame, key: str, order: list[str], reward: str, start: float = 1.0) -> DataFrame:
+    """``(key, n, mean, spread)``: running mean, and spread 0.9 of the old plus 0.1 of the gap to the mean so far, in order.
 
-    def step(s, r):
-        n = s["n"] + 1
-        return F.struct(n.alias("n"), (s["m"] + (r - s["m"]) / n).alias("m"), (0.9 * s["v"] + 0.1 * F.abs(r - s["m"])).alias("v"))
-
-    out = df.groupBy(key).agg(F.aggregate(rows, start, step).alias("s"))
-    return out.select(key, F.col("s.n").cast("long").alias("n"), F.col("s.m").alias("mean"), F.col("s.v").alias("spread"))
+    Unrolled, the spread is a sum of gaps weighted by powers of 0.9, so windows stream over
+    a key's rows and partial sums meet; no key is gathered into an array.
+    """
+    up, down = Window.partitionBy(key).orderBy(*order), Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    so_far = F.coalesce(F.avg(reward).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = df.select(key, F.col(reward).alias("r"), F.abs(F.col(reward) - so_far).alias("gap"), (F.row_number().over(down) - 1).alias("age"))
+    g = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.sum(0.1 * F.pow(F.lit(0.9), F.col("age")) * F.col("gap")).alias("s"))
+    return g.select(key, "n", "mean", (F.col("s") + start * F.pow(F.lit(0.9), F.col("n"))).alias("spread"))
 
 
 def hitting_set(cover: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skein.operators import graph as G
 from skein.operators.components import connected_components
 from skein.operators.provenance import merkle_roots
+from skein.operators.ranking import skyline
 from skein.plans.registry import query
 from skein.sources.tables import table
 from skein.sources.views import ED, EP, LK, causal_edges, episodes, links
@@ -107,14 +108,8 @@ def _(spark, d):
 
 @query("g_pareto", f"with {EP}, m as (select session_id as id, avg(reward) as r, avg(latency) as l from ep group by 1) select id from m a where not exists (select 1 from m b where b.r >= a.r and b.l <= a.l and (b.r > a.r or b.l < a.l))")
 def _(spark, d):
-    """Skyline in one sorted pass: a point stays if no better reward before it has as low a latency."""
-    from pyspark.sql.window import Window
-
     m = episodes(spark, d).groupBy(F.col("session_id").alias("id")).agg(F.avg("reward").alias("r"), F.avg("latency").alias("l"))
-    best = m.groupBy("r").agg(F.min("l").alias("low"))
-    upto = best.withColumn("before", F.min("low").over(Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)))
-    front = upto.where("before is null or low < before").select("r", F.col("low").alias("l"))
-    return m.join(front, ["r", "l"], "left_semi").select("id")
+    return skyline(m, "r", "l").select("id")
 
 
 @query("o_closure", f"with recursive {TREE}, c as (select src, dst from tr union select c.src, tr.dst from c join tr on c.dst = tr.src) select src, dst from c except select src, dst from tr")

@@ -94,7 +94,7 @@ def _(spark, d):
 @query("math_bandit_update", f"""with {EP}, o as (select task, list(reward order by (ts, id)) as rs from ep group by 1)
     select task, len(rs) as n, round(list_avg(rs), 6) as mean from o""")
 def _(spark, d):
-    return Q.bandit(episodes(spark, d), "task", F.struct("ts", "id"), "reward").select("task", "n", r6("mean").alias("mean"))
+    return Q.bandit(episodes(spark, d), "task", ["ts", "id"], "reward").select("task", "n", r6("mean").alias("mean"))
 
 
 @query("p_hitting_set")

@@ -101,6 +101,23 @@ def test_ordered_operators(spark):
     assert (1, "c", 1, True) in rounds and (2, "b", 3, False) in rounds
 
 
+def test_bandit_equals_fold(spark):
+    values = [0.3, 0.9, 0.1, 0.5, 0.5]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "k string, at int, r double")
+    mean, spread = 0.0, 1.0
+    for n, v in enumerate(values, 1):
+        spread = 0.9 * spread + 0.1 * abs(v - mean)
+        mean += (v - mean) / n
+    row = sequential.bandit(df, "k", ["at"], "r").first()
+    assert (row.n, round(row["mean"], 9), round(row.spread, 9)) == (5, round(mean, 9), round(spread, 9))
+
+
+def test_skyline(spark):
+    rows = [(1, 3.0, 5.0), (2, 3.0, 5.0), (3, 2.0, 4.0), (4, 2.0, 6.0), (5, 1.0, 4.0), (6, 0.5, 1.0), (7, None, 0.0)]
+    df = spark.createDataFrame(rows, "id int, r double, l double").repartition(3)
+    assert {r.id for r in ranking.skyline(df, "r", "l").collect()} == {1, 2, 3, 6}
+
+
 def test_turtle():
     text = '@prefix x: <http://x/> .\n# note\nx:a a x:Class ; x:label "A; b"@en , "B" .\n<http://y#z> x:sub x:a .'
     rdf = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
