@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,16 +41,20 @@ def bandit(df: DataFrame, key: str, order: list[str], reward: str, start: float
 def hitting_set(cover: DataFrame) -> DataFrame:
     """``(query, chunk, step)``: greedy least set of chunks of ``(query, chunk, requirement)`` that meets all requirements; ties to the least chunk."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = {c: set(g) for c, g in pdf.groupby("chunk")["requirement"]}
-        left, out = set(pdf["requirement"]), []
-        while left:
-            c = min(sets, key=lambda c: (-len(sets[c] & left), c))
-            out.append(c)
-            left -= sets[c]
-        return pd.DataFrame({"query": pdf["query"].iloc[0], "chunk": out, "step": range(1, len(out) + 1)})
-
-    return cover.groupBy("query").applyInPandas(run, "query long, chunk long, step long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for query, chunks in zip(b["query"], b["chunks"]):
+                sets = {c["chunk"]: set(c["needs"]) for c in chunks}
+                left, step = set().union(*sets.values()), 0
+                while left:
+                    chunk, step = min(sets, key=lambda c: (-len(sets[c] & left), c)), step + 1
+                    left -= sets[chunk]
+                    rows.append((query, chunk, step))
+            yield pd.DataFrame(rows, columns=["query", "chunk", "step"])
+
+    chunks = cover.groupBy("query", "chunk").agg(F.collect_set("requirement").alias("needs"))
+    return chunks.groupBy("query").agg(F.collect_list(F.struct("chunk", "needs")).alias("chunks")).mapInPandas(run, "query long, chunk long, step long")
 
 
 def instant_runoff(ballots: DataFrame) -> list[tuple[int, str, int, bool]]:

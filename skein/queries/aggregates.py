@@ -85,10 +85,10 @@ def _(spark, d):
     return j.agg(r6(F.avg(F.when(F.col("to_id").isNotNull(), F.col("reward"))) - F.avg(F.when(F.col("to_id").isNull(), F.col("reward")))).alias("gain"))
 
 
-@query("agg_weighted_vector", f"""with {RA}, w as (select user_id, item_id, sum((rating - 1) / 4) as w from ra where user_id < 40 group by all), x as (select user_id, w, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as pos from w join embeddings on vec_id = item_id % 500),
+@query("agg_weighted_vector", f"""with {RA}, w as (select user_id, item_id, sum((rating - 1) / 4) as w from ra group by all), x as (select user_id, w, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as pos from w join embeddings on vec_id = item_id % 500),
     m as (select user_id, pos, sum(w * x) / sum(w) as x from x group by all) select user_id, round(sqrt(sum(x * x)), 6) as norm, round(sum(x * pos) / sqrt(sum(x * x)), 5) as moment from m group by 1""")
 def _(spark, d):
-    w = ratings(spark, d).where("user_id < 40").groupBy("user_id", "item_id").agg(F.sum((F.col("rating") - 1) / 4).alias("w"))
+    w = ratings(spark, d).groupBy("user_id", "item_id").agg(F.sum((F.col("rating") - 1) / 4).alias("w"))
     e = table(spark, d, "embeddings")
     v = A.mean_vector(w.join(e, F.col("item_id") % 500 == F.col("vec_id")), "user_id", "embedding", F.col("w")).withColumn("n", norm("vector"))
     moment = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
@@ -102,9 +102,9 @@ def _(spark, d):
     return v.select(F.col("label").cast("long").alias("label"), r6(norm("vector")).alias("norm"))
 
 
-@query("agg_genome_map", "select l_suppkey as item, string_agg(l_partkey::varchar || '=' || s::varchar, ',' order by l_partkey) as tags from (select l_suppkey, l_partkey, max(l_quantity)::bigint as s from lineitem where l_suppkey < 5 group by all) group by 1")
+@query("agg_genome_map", "select l_suppkey as item, string_agg(l_partkey::varchar || '=' || s::varchar, ',' order by l_partkey) as tags from (select l_suppkey, l_partkey, max(l_quantity)::bigint as s from lineitem group by all) group by 1")
 def _(spark, d):
-    m = table(spark, d, "lineitem").where("l_suppkey < 5").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").cast("long").alias("s"))
+    m = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").cast("long").alias("s"))
     g = m.groupBy(F.col("l_suppkey").alias("item")).agg(F.map_from_entries(F.collect_list(F.struct("l_partkey", "s"))).alias("m"))
     parts = F.transform(F.array_sort(F.map_keys("m")), lambda k: F.concat_ws("=", k.cast("string"), F.element_at("m", k).cast("string")))
     return g.select("item", F.array_join(parts, ",").alias("tags"))

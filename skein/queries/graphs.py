@@ -20,12 +20,12 @@ def tree(spark):
     return spark.range(2, 64).selectExpr("id as src", "id div 2 as dst")
 
 
-@query("g_causal_chain", f"""with recursive {ED}, w as (select from_id as start, to_id as node, uplift, confidence as low, [from_id, to_id] as path from ed where from_id < 20
+@query("g_causal_chain", f"""with recursive {ED}, w as (select from_id as start, to_id as node, uplift, confidence as low, [from_id, to_id] as path from ed
     union all select start, to_id, w.uplift + ed.uplift, least(low, confidence), list_append(path, to_id) from w join ed on node = from_id where len(path) <= 5 and not list_contains(path, to_id))
     select start, node, len(path) - 1 as hops, round(uplift, 6) as uplift, round(low, 6) as low from w""")
 def _(spark, d):
     e = causal_edges(spark, d)
-    step = e.where("from_id < 20").select(F.col("from_id").alias("start"), F.col("to_id").alias("node"), F.col("uplift").alias("u"), F.col("confidence").alias("low"), F.array("from_id", "to_id").alias("path"))
+    step = e.select(F.col("from_id").alias("start"), F.col("to_id").alias("node"), F.col("uplift").alias("u"), F.col("confidence").alias("low"), F.array("from_id", "to_id").alias("path"))
     out = step
     for _ in range(4):
         step = step.join(e, F.col("node") == F.col("from_id")).where(~F.array_contains(F.col("path"), F.col("to_id")))
@@ -79,9 +79,9 @@ def _(spark, d):
     return e.select(F.col("src").alias("node")).unionAll(e.select("dst")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-@query("g_components", f"with recursive {LK}, b as (select src, dst from lk where src < 60 and dst < 60 union select dst, src from lk where src < 60 and dst < 60), r as (select src as node, src as c from b union select b.dst, r.c from r join b on b.src = r.node) select node, min(c) as component from r group by 1")
+@query("g_components", f"with recursive {LK}, b as (select src, dst from lk union select dst, src from lk), r as (select src as node, src as c from b union select b.dst, r.c from r join b on b.src = r.node) select node, min(c) as component from r group by 1")
 def _(spark, d):
-    return connected_components(links(spark, d).where("src < 60 and dst < 60"))
+    return connected_components(links(spark, d))
 
 
 @query("g_label_propagation")
@@ -157,11 +157,15 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.when(u.rlike("/en/"), "English").when(u.rlike("/fr/"), "French").when(u.rlike("/de/"), "German").otherwise("Other").alias("class"))
 
 
-@query("p_merkle", """with l0 as (select c_nationkey as g, sha256(c_name) as h, row_number() over (partition by c_nationkey order by c_custkey) - 1 as i from customer where c_custkey < 60), 
-    l1 as (select g, i // 2 as i, case when count(*) = 2 then sha256(string_agg(h, '' order by i)) else any_value(h) end as h from l0 group by g, i // 2), l2 as (select g, i // 2 as i, case when count(*) = 2 then sha256(string_agg(h, '' order by i)) else any_value(h) end as h from l1 group by g, i // 2),
-    l3 as (select g, i // 2 as i, case when count(*) = 2 then sha256(string_agg(h, '' order by i)) else any_value(h) end as h from l2 group by g, i // 2), l4 as (select g, i // 2 as i, case when count(*) = 2 then sha256(string_agg(h, '' order by i)) else any_value(h) end as h from l3 group by g, i // 2) select g::bigint as g, h as root from l4""")
+#: Fourteen levels cover groups of up to 16,384 chunks.
+MERKLE = "l0 as (select c_nationkey as g, sha256(c_name) as h, row_number() over (partition by c_nationkey order by c_custkey) - 1 as i from customer)" + "".join(
+    f", l{n + 1} as (select g, i // 2 as i, case when count(*) = 2 then sha256(string_agg(h, '' order by i)) else any_value(h) end as h from l{n} group by g, i // 2)" for n in range(14)
+)
+
+
+@query("p_merkle", f"with {MERKLE} select g::bigint as g, h as root from l14")
 def _(spark, d):
-    c = table(spark, d, "customer").where("c_custkey < 60").selectExpr("cast(c_nationkey as bigint) as g", "c_custkey as pos", "sha2(cast(c_name as binary), 256) as h")
+    c = table(spark, d, "customer").selectExpr("cast(c_nationkey as bigint) as g", "c_custkey as pos", "sha2(cast(c_name as binary), 256) as h")
     return merkle_roots(c, "g", "pos", "h")
 
 

@@ -118,9 +118,9 @@ def _(spark, d):
     return e.join(p, ["session_id", "task"], "left").select("id", r6(F.coalesce("policy", F.lit(0.5))).alias("policy"))
 
 
-@query("join_collab", f"with {RA}, u as (select distinct user_id, item_id from ra where item_id < 60) select a.item_id as a, b.item_id as b, count(*) as n from u a join u b on a.user_id = b.user_id and a.item_id < b.item_id group by all")
+@query("join_collab", f"with {RA}, u as (select distinct user_id, item_id from ra) select a.item_id as a, b.item_id as b, count(*) as n from u a join u b on a.user_id = b.user_id and a.item_id < b.item_id group by all")
 def _(spark, d):
-    u = ratings(spark, d).where("item_id < 60").select("user_id", "item_id").distinct()
+    u = ratings(spark, d).select("user_id", "item_id").distinct()
     j = u.select("user_id", F.col("item_id").alias("a")).join(u.select("user_id", F.col("item_id").alias("b")), "user_id").where("a < b")
     return j.groupBy("a", "b").agg(F.count("*").alias("n"))
 
@@ -134,10 +134,10 @@ def _(spark, d):
     return a.join(b, F.col("a") == F.col("b"), "full_outer").select(F.coalesce("a", "b").alias("k"), state.alias("state"))
 
 
-@query("join_asof", f"with {EP} select o_orderkey, id as episode from orders o left join lateral (select id from ep where session_id = o_custkey % 150 and ts <= o_orderdate + interval 9000 day order by ts desc, id desc limit 1) on true where o_orderkey < 200")
+@query("join_asof", f"with {EP} select o_orderkey, id as episode from orders o left join lateral (select id from ep where session_id = o_custkey % 150 and ts <= o_orderdate + interval 9000 day order by ts desc, id desc limit 1) on true")
 def _(spark, d):
     """As-of join by merging both sides into one ordered run per key."""
-    o = table(spark, d, "orders").where("o_orderkey < 200").select((F.col("o_custkey") % 150).alias("k"), (F.col("o_orderdate") + F.expr("interval 9000 days")).alias("t"), F.col("o_orderkey").alias("o"), F.lit(None).cast("long").alias("id"))
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 150).alias("k"), (F.col("o_orderdate") + F.expr("interval 9000 days")).alias("t"), F.col("o_orderkey").alias("o"), F.lit(None).cast("long").alias("id"))
     e = episodes(spark, d).select(F.col("session_id").alias("k"), F.col("ts").alias("t"), F.lit(None).cast("long").alias("o"), "id")
     w = Window.partitionBy("k").orderBy("t", F.col("o").asc_nulls_first(), F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     return e.unionByName(o).withColumn("episode", F.last("id", ignorenulls=True).over(w)).where("o is not null").select(F.col("o").alias("o_orderkey"), "episode")

@@ -99,7 +99,7 @@ def _(spark, d):
 
 @query("p_hitting_set")
 def _(spark, d):
-    cover = table(spark, d, "lineitem").where("l_orderkey < 50").select(F.col("l_orderkey").alias("query"), F.col("l_linenumber").cast("long").alias("chunk"), F.explode(F.array((F.col("l_partkey") % 5).cast("string"), (F.col("l_suppkey") % 5).cast("string"))).alias("requirement"))
+    cover = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query"), F.col("l_linenumber").cast("long").alias("chunk"), F.explode(F.array((F.col("l_partkey") % 5).cast("string"), (F.col("l_suppkey") % 5).cast("string"))).alias("requirement"))
     return Q.hitting_set(cover)
 
 
@@ -182,11 +182,11 @@ def _(spark, d):
     return f.select("session_id", "step", r6(F.col("last") + (F.col("last") - F.col("first")) / 5 * F.col("step")).alias("value"))
 
 
-@query("sup_fragmentation", f"with {LK} select p_partkey as node from part where p_partkey < 97 and p_partkey % 5 > 0 and p_partkey not in (select src from lk where dst % 5 > 0 union select dst from lk where src % 5 > 0)")
+@query("sup_fragmentation", f"with {LK} select p_partkey as node from part where p_partkey % 5 > 0 and p_partkey not in (select src from lk where dst % 5 > 0 union select dst from lk where src % 5 > 0)")
 def _(spark, d):
     e = links(spark, d)
     live = e.where("dst % 5 > 0").select(F.col("src").alias("node")).union(e.where("src % 5 > 0").select("dst")).distinct()
-    return table(spark, d, "part").where("p_partkey < 97 and p_partkey % 5 > 0").select(F.col("p_partkey").alias("node")).join(live, "node", "left_anti")
+    return table(spark, d, "part").where("p_partkey % 5 > 0").select(F.col("p_partkey").alias("node")).join(live, "node", "left_anti")
 
 
 @query("sup_batch_filter", f"with {RA} select user_id, round(avg(rating), 6) as mean, count(*) as n from ra where rating >= 3 group by 1 order by avg(rating) desc, user_id limit 25")
@@ -212,9 +212,9 @@ def _(spark, d):
     return links(spark, d).groupBy("src").agg(listed(0, F.col("weight")).alias("prerequisites"), listed(1, -F.col("weight")).alias("alternatives"))
 
 
-@query("join_availability", "select p_partkey, s_name, min(l_extendedprice / l_quantity) as price from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey where p_partkey < 50 group by all")
+@query("join_availability", "select p_partkey, s_name, min(l_extendedprice / l_quantity) as price from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey group by all")
 def _(spark, d):
-    j = table(spark, d, "lineitem").join(table(spark, d, "part").where("p_partkey < 50"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return j.groupBy("p_partkey", "s_name").agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
 
 

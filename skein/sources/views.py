@@ -50,14 +50,13 @@ ED = (
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
-    """A sparse directed graph over part keys: each part to two others."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("src"), F.col("p_size").alias("size"))
-    n = 97
-    near = p.where(f"src < {n}").select("src", F.expr(f"cast((src * 7 + 3) % {n} as bigint)").alias("dst"), (F.col("size") / 10.0).alias("weight"))
-    far = p.where(f"src < {n} and src % 3 = 0").select("src", F.expr(f"cast((src * 5 + 11) % {n} as bigint)").alias("dst"), (F.col("size") / 5.0).alias("weight"))
+    """A sparse directed graph over all part keys: each part to one or two others of its block of 97."""
+    p = table(spark, d, "part").selectExpr("p_partkey as src", "p_partkey - p_partkey % 97 as base", "p_size as size")
+    near = p.selectExpr("src", "base + (src * 7 + 3) % 97 as dst", "size / 10 as weight")
+    far = p.where("src % 3 = 0").selectExpr("src", "base + (src * 5 + 11) % 97 as dst", "size / 5 as weight")
     return near.unionByName(far).where("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
 
 
 LK = """lk as (select src, dst, min(weight) as weight from (
-    select p_partkey as src, (p_partkey * 7 + 3) % 97 as dst, p_size / 10.0 as weight from part where p_partkey < 97
-    union all select p_partkey, (p_partkey * 5 + 11) % 97, p_size / 5.0 from part where p_partkey < 97 and p_partkey % 3 = 0) where src <> dst group by all)"""
+    select p_partkey as src, p_partkey - p_partkey % 97 + (p_partkey * 7 + 3) % 97 as dst, p_size / 10.0 as weight from part
+    union all select p_partkey, p_partkey - p_partkey % 97 + (p_partkey * 5 + 11) % 97, p_size / 5.0 from part where p_partkey % 3 = 0) where src <> dst group by all)"""
