@@ -82,3 +82,26 @@ def top_per(df: DataFrame, key: str, k: int, *order) -> DataFrame:
     """The first ``k`` rows of each key."""
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def local_moves(edges: DataFrame, rounds: int = 6) -> DataFrame:
+    """``(node, label)``: each node moves to the neighbouring community with the greatest modularity gain, in synchronous rounds.
+
+    The gain is links to the community less its degree share. A node moves only to a lesser label in odd rounds and a
+    greater one in even rounds, so two nodes never swap for ever.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    degree = both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"))
+    total = float(both.count() or 1)
+    labels = degree.withColumn("label", F.col("node"))
+    for r in range(rounds):
+        size = labels.groupBy("label").agg(F.sum("k").alias("size"))
+        near = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.count("*").alias("inside"))
+        own = labels.select("node", "k", F.col("label").alias("old"))
+        stay = own.select("node", F.col("old").alias("label"), F.lit(0).cast("long").alias("inside"))
+        votes = near.unionByName(stay).groupBy("node", "label").agg(F.sum("inside").alias("inside")).join(size, "label").join(own, "node")
+        rest = F.col("size") - F.when(F.col("label") == F.col("old"), F.col("k")).otherwise(0)
+        ahead = F.col("label") <= F.col("old") if r % 2 == 0 else F.col("label") >= F.col("old")
+        gain = F.struct((F.col("inside") - F.col("k") * rest / total).alias("g"), (-F.col("label")).alias("low"))
+        labels = materialise(votes.where(ahead).groupBy("node").agg(F.max_by("label", gain).alias("label"), F.first("k").alias("k")), "moves")
+    return labels.select("node", "label")
