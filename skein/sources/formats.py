@@ -76,3 +76,18 @@ def to_turtle(triples: DataFrame) -> DataFrame:
     """``(s, turtle)``: one block of text per subject."""
     pair = F.format_string("<%s> \"%s\"", "p", "o")
     return triples.groupBy("s").agg(F.concat(F.format_string("<%s> ", F.col("s")), F.array_join(F.array_sort(F.collect_set(pair)), " ; "), F.lit(" .")).alias("turtle"))
+
+
+def write_stream_batch(df: DataFrame, main: str, copy: str) -> None:
+    """Append a batch to two stores; the copy is best effort, so its failure leaves the main store right."""
+    df.persist()
+    try:
+        df.write.mode("append").parquet(main)
+        try:
+            df.write.mode("append").parquet(copy)
+        except Exception as e:  # the second store may be down
+            import logging
+
+            logging.getLogger(__name__).warning("copy not written: %s", e)
+    finally:
+        df.unpersist()
