@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import functions as F
+
 from skein.llm import decontaminate, licences, mixing, passages, quality_model, quality_rules, quotes, secrets, simhash, token_files
 from skein.sources.tables import table
 
@@ -16,9 +18,29 @@ def query(f: Callable) -> Callable:
     return f
 
 
+#: The bisection runs over the list of source shares; as many halvings as the operator makes.
+SQL["op1_temperature_mix"] = f"""
+with recursive t as (select doc_id, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as tokens from documents),
+s as (select source, count(*) as n_docs, sum(tokens)::bigint as st from t group by 1),
+g as (select sum(st)::double as total, list(st order by source) filter (st > 0) as sts from s),
+l as (select list_transform(sts, lambda x: x / total) as ps, total from g),
+b as (select 0 as i, 0.0::double as lo, 1.0::double as hi union all select i + 1, case when ok then lo else mid end, case when ok then mid else hi end
+    from (select i, lo, hi, (lo + hi) / 2 as mid, list_max(list_transform(ps, lambda x: power(x, (lo + hi) / 2 - 1))) / list_sum(list_transform(ps, lambda x: power(x, (lo + hi) / 2))) <= 2.0 as ok from b, l where i < {mixing.LEVELS * mixing.ROUNDS})),
+a as (select case when list_max(list_transform(ps, lambda x: 1 / x)) / len(ps) <= 2.0 then 0.0 else hi end as a, total from b, l where i = {mixing.LEVELS * mixing.ROUNDS}),
+w as (select source, n_docs, st, total, case when st > 0 then power(st / total, a) else 0 end as w from s, a),
+bu as (select source, n_docs, st, w / (sum(w) over ()) as weight, w / (sum(w) over ()) * total as budget from w),
+p as (select *, coalesce(floor(budget / nullif(st, 0) + 1e-9), 0)::bigint as passes, ceil(sqrt(n_docs))::bigint as n_blocks from bu),
+k as (select doc_id, t.source, tokens, weight, passes, st, greatest(0, budget - passes * st) as rest, ('0x' || substr(md5(concat_ws('|', '17', 'block', t.source, doc_id::varchar)), 1, 15))::bigint % n_blocks as block,
+    ('0x' || substr(md5(concat_ws('|', '17', 'place', t.source, doc_id::varchar)), 1, 15))::bigint as place from t join p on t.source = p.source),
+u as (select *, sum(tokens) over (partition by source, block order by place, doc_id, tokens rows unbounded preceding) as upto from k),
+bl as (select source, block, coalesce(sum(n) over (partition by source order by block rows between unbounded preceding and 1 preceding), 0) as before from (select source, block, sum(tokens) as n from k group by all))
+select doc_id, u.source, tokens, round(weight, 6) as weight, passes + (st > 0 and before + upto <= rest)::bigint as copies from u join bl on u.source = bl.source and u.block = bl.block"""
+
+
 @query
 def op1_temperature_mix(spark, d):
-    return mixing.mix(table(spark, d, "documents"), max_repeat=2.0)
+    """Weights are rounded: their last bits depend on the order of sums."""
+    return mixing.mix(table(spark, d, "documents"), max_repeat=2.0).withColumn("weight", F.round("weight", 6))
 
 
 @query
@@ -76,6 +98,21 @@ def op10_blob_ledger(spark, d):
     return secrets.digest(secrets.scan(table(spark, d, "documents")))
 
 
+_M = quotes.MARKS
+SQL["op4_quote_threads"] = f"""
+with recursive m as (select conv_id, turn, role, string_split_regex(coalesce(text, ''), '\\r?\\n') as ls from conversations),
+f as (select conv_id, turn, length(regexp_replace(regexp_extract(x, '{_M}'), '[^>]', '', 'g')) as level, trim(regexp_replace(lower(regexp_replace(x, '{_M}', '')), '\\s+', ' ', 'g')) as line from (select conv_id, turn, unnest(ls) as x from m)),
+e as (select * from f where length(line) >= {quotes.MIN_CHARS} and conv_id is not null and turn is not null),
+own as (select conv_id, line, min(turn) as origin from e where level = 0 group by all),
+v as (select q.conv_id, q.turn, q.level, o.origin, count(*) as n from e q join own o on q.conv_id = o.conv_id and q.line = o.line and o.origin < q.turn where q.level > 0 group by all),
+p as (select conv_id, turn, arg_max(origin, (-level, n, origin)) as parent from v group by all),
+r as (select conv_id, turn, parent, parent as root, 1 as depth from p union all select r.conv_id, r.turn, r.parent, p.parent, depth + 1 from r join p on r.conv_id = p.conv_id and r.root = p.turn),
+b as (select conv_id, turn, parent, arg_max(root, depth) as root, max(depth) as depth from r group by all)
+select m.conv_id, coalesce(root, m.turn) as root, coalesce(depth, 0) as depth, m.turn, parent, role,
+    regexp_replace(array_to_string(list_transform(list_filter(ls, lambda x: regexp_extract(x, '{_M}') = '' and not regexp_matches(x, '{quotes.ATTRIBUTION}')), lambda x: regexp_replace(x, '{_M}', '')), chr(10)), '^\\s+|\\s+$', '', 'g') as content
+from m left join b on m.conv_id = b.conv_id and m.turn = b.turn"""
+
+
 @query
 def op4_quote_threads(spark, d):
     return quotes.conversations(table(spark, d, "conversations"))
