@@ -65,3 +65,23 @@ def knn(df: DataFrame, query: Sequence[float], id_col: str, vec_col: str, k: int
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     return scored.orderBy(F.desc("score"), id_col).limit(k)
+
+
+def consolidate(df: DataFrame, group: str, id_col: str, vec_col: str, threshold: float = 0.8, most: int = 10) -> DataFrame:
+    """``(group, leader, id)``: greedy leaders of each group in order of id; a vector joins the first leader it is more similar to than ``threshold``.
+
+    A round takes the least id left in every group as leader and hands out its members, so no group is gathered in one
+    place; there are ``most`` rounds at most, and vectors left after them have no leader and no row.
+    """
+    from skein.plans.scratch import materialise
+
+    left, out = df.select(F.col(group).alias("group"), F.col(id_col).alias("id"), F.col(vec_col).alias("v")), None
+    for _ in range(most):
+        lead = left.groupBy("group").agg(F.min("id").alias("leader"), F.min_by("v", "id").alias("lv"))
+        seen = materialise(left.join(lead, "group").withColumn("in", (F.col("id") == F.col("leader")) | (cosine("v", "lv") > threshold)), "leaders")
+        step = seen.where(F.col("in")).select("group", "leader", "id")
+        out = step if out is None else out.unionByName(step)
+        left = seen.where(~F.col("in")).select("group", "id", "v")
+        if left.isEmpty():
+            break
+    return out

@@ -237,3 +237,60 @@ def _(spark, d):
 def _(spark, d):
     near = _emb(spark, d).where(V.cosine("embedding", _q0(spark, d)) >= 0.2).select("vec_id")
     return episodes(spark, d).withColumn("vec_id", F.col("id") % 500).join(near, "vec_id").select("id", F.concat(F.lit("transfer:"), "task").alias("task"), r6("reward").alias("reward"))
+
+
+@query("vec_consolidate")
+def _(spark, d):
+    """Leaders of each label's vectors at similarity over 0.2, ten rounds."""
+    return V.consolidate(_emb(spark, d), "label", "vec_id", "embedding", 0.2, 10).groupBy("group", "leader").agg(F.count("*").alias("n"))
+
+
+@query("rank_mmr_meta")
+def _(spark, d):
+    """Diversity by metadata: the label as a one-hot vector makes the similarity 1 for equal labels and 0 for others."""
+    lab = _emb(spark, d).select(F.col("vec_id").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i == F.col("label")).cast("double")).alias("v"))
+    return R.mmr(_top(spark, d, 20).join(lab, "id").select("query", "id", "score", "v"), 5)
+
+
+@query("g_conceptual", "with e as (select distinct l_orderkey as src, l_suppkey as concept from lineitem) select a.src as a, count(*) as links from e a join e b on a.concept = b.concept and a.src <> b.src where a.src % 50 = 0 group by 1")
+def _(spark, d):
+    """How many nodes share a concept with each node of the query set, per shared concept; counts per concept replace the pairs."""
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("concept")).distinct()
+    size = e.groupBy("concept").agg((F.count("*") - 1).alias("others"))
+    return e.where("src % 50 = 0").join(size, "concept").groupBy(F.col("src").alias("a")).agg(F.sum("others").alias("links")).where("links > 0")
+
+
+@query("g_hyper_deps", "select event_type as stage, nxt as next, count(*) as n from (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) as nxt from events) where nxt is not null group by all")
+def _(spark, d):
+    """Which stage follows which in a session's pipeline."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select(F.col("event_type").alias("stage"), F.lead("event_type").over(w).alias("next")).where("next is not null")
+    return e.groupBy("stage", "next").agg(F.count("*").alias("n"))
+
+
+@query("rec_hybrid", f"with {PAIRS}, pop as (select l_partkey as id, count(*) as n from lineitem group by 1) select query, t.id, round(0.7 * score + 0.3 * coalesce(n, 0) / (select max(n) from pop), 6) as score from t left join pop using (id) where rank <= 20")
+def _(spark, d):
+    """Content similarity with popularity over the most popular item's."""
+    pop = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n"))
+    top = pop.agg(F.max("n")).first()[0] or 1
+    return _top(spark, d, 20).join(pop, "id", "left").select("query", "id", r6(0.7 * F.col("score") + 0.3 * F.coalesce("n", F.lit(0)) / F.lit(top)).alias("score"))
+
+
+@query("rec_context", f"with {EP}, h as (select task, hour(ts)::bigint as hour, count(*) as n from ep group by all) select hour, task from (select *, row_number() over (partition by hour order by n desc, task) as i from h) where i <= 2")
+def _(spark, d):
+    """The two commonest tasks of each hour of the day."""
+    h = episodes(spark, d).groupBy("task", F.hour("ts").cast("long").alias("hour")).agg(F.count("*").alias("n"))
+    return h.withColumn("i", F.row_number().over(Window.partitionBy("hour").orderBy(F.desc("n"), "task"))).where("i <= 2").select("hour", "task")
+
+
+@query("sup_ruvector", f"with {Q0} select vec_id from embeddings, q where vec_id <> 0 and label in (1, 2, 3) order by list_cosine_similarity({DBL}, q) desc, vec_id limit 5")
+def _(spark, d):
+    e = _emb(spark, d)
+    return V.knn(e.where("label in (1, 2, 3)"), V.vector_of(e, "vec_id", 0), "vec_id", "embedding", 5, exclude=0).select("vec_id")
+
+
+@query("ann_unified")
+def _(spark, d):
+    """Hash, candidates, exact scores, top-k in one plan."""
+    e = _emb(spark, d)
+    return I.lsh_search(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 64, 10)

@@ -98,3 +98,19 @@ def test_media_bands(spark):
 
 def test_search_plan():
     assert choose(1000, 10, 0.95) == "exact" and choose(10**9, 10, 0.95) == "lsh" and choose(10**9, 10, 0.5) == "pq"
+
+
+def test_consolidation_follows_the_greedy_order(spark):
+    from skein.operators.vectors import consolidate
+
+    v = rng.normal(size=(40, 3))
+    df = spark.createDataFrame([(i % 2, i, v[i].tolist()) for i in range(40)], "g int, id int, v array<double>")
+    got = {(r["group"], r["leader"], r["id"]) for r in consolidate(df, "g", "id", "v", 0.5, 20).collect()}
+    u, want = v / np.linalg.norm(v, axis=1, keepdims=True), set()
+    for g in range(2):
+        left = [i for i in range(40) if i % 2 == g]
+        while left:
+            mine = [i for i in left if i == left[0] or u[i] @ u[left[0]] > 0.5]
+            want |= {(g, left[0], i) for i in mine}
+            left = [i for i in left if i not in mine]
+    assert got == want
