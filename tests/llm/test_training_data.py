@@ -263,6 +263,19 @@ def test_passages_found_and_clean_left(spark):
     assert len({root(i) for i in found}) == 2
 
 
+def test_passages_around_unlike_text(spark):
+    rng = random.Random(18)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    bodies, want = [], set()
+    for size, gap, other_gap in ((60, 40, 40), (60, 60, 60), (60, 0, 60), (80, 60, 60), (80, 100, 100), (300, 200, 200)):
+        one, two = text(size), text(size)
+        n = len(bodies)
+        bodies += [text(20) + one + text(gap) + two + text(20), text(30) + one + text(other_gap) + two + text(5)]
+        want |= {(n + 1, n, 30, 30 + size, 20, 20 + size), (n + 1, n, 30 + size + other_gap, 30 + 2 * size + other_gap, 20 + size + gap, 20 + 2 * size + gap)}
+    rows = passages.repeated_passages(docs_of(spark, [" ".join(b) for b in bodies])).collect()
+    assert {tuple(r)[:6] for r in rows} == want and all(r.similarity == 1 for r in rows)
+
+
 def test_edit_distance_of_words():
     rng = random.Random(2)
     for _ in range(100):
