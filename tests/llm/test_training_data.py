@@ -276,6 +276,21 @@ def test_passages_around_unlike_text(spark):
     assert {tuple(r)[:6] for r in rows} == want and all(r.similarity == 1 for r in rows)
 
 
+def test_passages_of_two_frequent_lines(spark):
+    rng = random.Random(28)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    bodies, want = [], set()
+    for _ in range(12):
+        one, two = text(30), text(30)
+        single = lambda i: text(20) + (two if i % 2 else one) + text(20)
+        n = len(bodies)
+        for i in range(40):
+            bodies.append(text(20) + one + two + text(20) if i in (18, 31) else single(i))
+        want.add((n + 31, n + 18, 20, 80))
+    rows = passages.repeated_passages(docs_of(spark, [" ".join(b) for b in bodies])).collect()
+    assert {tuple(r)[:4] for r in rows} == want
+
+
 def test_edit_distance_of_words():
     rng = random.Random(2)
     for _ in range(100):
