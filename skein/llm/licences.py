@@ -1,6 +1,8 @@
 """Licence scans by a trained paragraph classifier.
 
-Paragraphs are runs of lines that carry a licence word. Sparse counts of word
+Paragraphs are parted by blank lines, bare comment marks among them. In those with a
+licence word, each run of lines that carry one is classified with the lines about
+it, up to six on either side, so that a wrapped notice is met whole. Sparse counts of word
 1- to 3-grams feed a multinomial logistic regression over licence families, one
 class of licence-like text that belongs to no listed family, and one of prose. The
 model is trained here, on the driver, from the templates below with seeded noise;
@@ -15,7 +17,7 @@ one by one; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -94,7 +96,9 @@ PROSE = (
 )
 UNKNOWN, NONE = "unknown", "prose"
 ANCHOR = re.compile(r"licen[sc]|copyright|spdx|warrant|redistribut|hereby granted|public domain|permission to use|\bcc0\b|\bcc by", re.IGNORECASE)
+WORD = re.compile(r"[^\W_]")
 CONFIRM, SURE = 0.6, 0.5
+GROW, LONG = 6, 400
 
 
 def tokens(text: str) -> list[str]:
@@ -178,21 +182,46 @@ def model() -> Model:
     return Model()
 
 
-def paragraphs(text: str) -> Iterator[tuple[int, str]]:
-    """``(first line, paragraph)``: runs of successive lines that each carry a licence word."""
+def paragraphs(text: str) -> Iterator[tuple[int, list[str]]]:
+    """``(first line, lines)`` of the paragraphs that carry a licence word; lines without letters or digits part them."""
     if not ANCHOR.search(text):
         return
     first, held = 0, []
-    for i, line in enumerate(text.split("\n")):
-        if ANCHOR.search(line):
+    for i, line in enumerate([*text.split("\n"), ""]):
+        if WORD.search(line):
             if not held:
                 first = i
             held.append(line)
-        elif held:
-            yield first, "\n".join(held)
+        else:
+            if any(ANCHOR.search(x) for x in held):
+                yield first, held
             held = []
-    if held:
-        yield first, "\n".join(held)
+
+
+def notices(lines: list[str], predict: Callable[[str], tuple[str, float, float]]) -> Iterator[tuple[int, str, float, float]]:
+    """``(line, family, probability, similarity)`` of each run of lines with licence words and the lines about it.
+
+    Of the windows that hold the run and up to ``GROW`` lines of the paragraph on
+    either side, the most similar one that a template confirms counts, the shortest
+    of equals; if none does, the run alone.
+    """
+    done, anchored = 0, [bool(ANCHOR.search(x)) for x in lines]
+    for start in range(len(lines)):
+        if start < done or not anchored[start]:
+            continue
+        end = start + 1
+        while end < len(lines) and anchored[end]:
+            end += 1
+        run = "\n".join(lines[start:end])
+        best, line, upto = predict(run), start, end
+        if best[2] < 1 or best[0] == UNKNOWN:
+            before, after = [x[-LONG:] for x in lines[max(done, start - GROW) : start]], [x[:LONG] for x in lines[end : end + GROW]]
+            for n, k in sorted(((n, k) for n in range(len(before) + 1) for k in range(len(after) + 1) if n + k), key=sum):
+                found = predict("\n".join([*before[len(before) - n :], run, *after[:k]]))
+                if found[0] not in (UNKNOWN, NONE) and (best[0] in (UNKNOWN, NONE) or found[2] > best[2]):
+                    best, line, upto = found, start - n, end + k
+        done = upto
+        yield line, *best
 
 
 _FOUND = "line int, family string, probability double, similarity double"
@@ -205,16 +234,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, float, float]] = {}
+
+        def predict(paragraph: str) -> tuple[str, float, float]:
+            if paragraph not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                known[paragraph] = fitted.value.predict(paragraph)
+            return known[paragraph]
+
         for b in batches:
             out = []
             for i, x in enumerate(b.column("text")):
-                for line, paragraph in paragraphs(x.as_py()):
-                    if paragraph not in known:
-                        if len(known) > 10_000:
-                            known.clear()
-                        known[paragraph] = fitted.value.predict(paragraph)
-                    if known[paragraph][0] != NONE:
-                        out.append((i, line, *known[paragraph]))
+                for first, lines in paragraphs(x.as_py()):
+                    out += [(i, first + line, *verdict) for line, *verdict in notices(lines, predict) if verdict[0] != NONE]
             columns = list(zip(*out)) or [()] * 5
             ids = b.column("doc_id").take(pa.array(columns[0], pa.int64()))
             kinds = (pa.int32(), pa.string(), pa.float64(), pa.float64())

@@ -456,6 +456,20 @@ def test_licences_found_and_prose_left(spark):
     assert licences.scan(empty(spark)).collect() == []
 
 
+def test_wrapped_licences(spark):
+    notes = {
+        "bsd": ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"],
+        "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not distributed with this", "file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+        "isc": ["Permission to use, copy, modify, and/or", "distribute this software for any purpose", "with or without fee is hereby granted"],
+        "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-", "NonCommercial 4.0", "International License"],
+    }
+    for frame in ("%s", " * %s", "# %s"):
+        bare = (frame % "").rstrip()
+        texts = ["\n".join([frame % "Some words on the file.", bare, *[frame % x for x in ls], bare, "code = 1"]) for ls in notes.values()]
+        rows = licences.scan(docs_of(spark, texts)).collect()
+        assert sorted((r.doc_id, r.line, r.family) for r in rows) == [(i, 2, f) for i, f in enumerate(notes)]
+
+
 def test_licence_model_on_held_out_noise():
     m, rng, right, n = licences.model(), random.Random(12), 0, 0
     for family, templates in licences.TEMPLATES.items():
