@@ -276,6 +276,13 @@ def test_passages_around_unlike_text(spark):
     assert {tuple(r)[:6] for r in rows} == want and all(r.similarity == 1 for r in rows)
 
 
+def test_longest_of_spans_that_begin_alike(spark):
+    rows = [(2, 1, 0, end, 0, end, 1.0) for end in (245, 650, 405)] + [(2, 1, 29, 405, 29, 405, 1.0), (3, 1, 0, 60, 0, 61, 0.9)]
+    for found in (rows, rows[::-1]):
+        out = passages.longest(spark.createDataFrame(found, passages._FOUND).coalesce(1)).collect()
+        assert sorted(map(tuple, out)) == [rows[1], rows[3], rows[4]]
+
+
 def test_passages_of_two_frequent_lines(spark):
     rng = random.Random(28)
     text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
