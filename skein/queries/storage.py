@@ -343,7 +343,7 @@ def _(spark, d):
 
 @query("ann_hybrid_mode")
 def _(spark, d):
-    """The plan for a batch search by size and recall target: exact below the size where a scan is cheap, hashing above it."""
+    """The plan for a batch search by size and recall target; at a target of 0.99 it is exact at every size."""
     e = table(spark, d, "embeddings")
     asked = e.where("vec_id % 50 = 0")
     if I.choose(e.count(), 10, 0.99) == "exact":

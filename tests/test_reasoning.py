@@ -96,6 +96,10 @@ def test_media_bands(spark):
     assert [[x["label"] for x in r["g"]] for r in rows] == [["Action"], []] and [r["h"] for r in rows] == [h, 0]
 
 
+def test_search_plan_is_exact_for_high_recall():
+    assert {choose(rows, 10, target) for rows in (1000, 10**7, 10**12) for target in (0.96, 0.99, 1.0)} == {"exact"}
+
+
 def test_search_plan():
     assert choose(1000, 10, 0.95) == "exact" and choose(10**9, 10, 0.95) == "lsh" and choose(10**9, 10, 0.5) == "pq"
 
