@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_made: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,7 +30,27 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{scratch_dir(spark)}/skein-{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/skein-{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this driver has put into the shared folder, for a caller that is done with its results; how many paths went."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    while _made:
+        place = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return gone
+
+
+def fresh_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` has not, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    n = 0
+    while f"{stem}_{n}" in taken:
+        n += 1
+    return f"{stem}_{n}"
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
