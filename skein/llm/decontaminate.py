@@ -1,19 +1,24 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A test item with an error budget of e edits is cut into e + 1 pieces. Wherever a
-text holds the item with at most e edits, one piece stands there unchanged. An
-Aho-Corasick automaton finds all pieces of a block of items in one pass over a
-text; each hit says where the item would start, windows of one item that overlap
-are joined, and Myers' bit-parallel distance decides. Nothing is sampled and no
-text is cut.
+A test item of n characters has an error budget of ``rate * n`` edits, rounded
+down, and is cut into budget + 1 pieces. Wherever a text holds the item within its
+budget, one piece stands there unchanged; an Aho-Corasick automaton finds all pieces
+of a block of items in one pass over a text. A hit climbs a binary tree over the
+pieces: a node of m pieces must occur about the hit with at most m - 1 edits, as
+some path from an unchanged piece to the whole item does in every true match. What
+reaches the top is decided by Myers' bit-parallel distance. Nothing is sampled, no
+text is cut, and no length of item is left out: below ten characters the budget is
+zero and the item is searched as it stands.
 
 The items are a stated query set held against all rows. They are read in blocks of
-a fixed number of characters, so what a task holds is bounded, however long the
-benchmark is.
-
-Defined results: null, blank and too short items match nothing; a null text holds
-nothing; repeated documents and repeated items each get their rows; an empty table
-gives an empty table; other columns are ignored.
+a fixed number of characters, so what a task or the driver holds is bounded, however
+long the benchmark is; each block is one scan of the documents, whose hits are
+stored before the next block is read.
+
+Defined results: null and blank items match nothing; a null text holds nothing; a null
+id of a document or an item comes back as null; repeated documents and repeated items
+each get their rows; ids may be of any type; an empty table gives an empty table; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +29,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from skein.plans.scratch import fresh_name, materialise
 
-RATE, LEAST_PIECE, LEAST_ITEM = 0.1, 12, 24
+RATE = 0.1
 BLOCK_CHARS = 1_000_000
 
 
@@ -35,8 +43,8 @@ def normalise(text: str | None) -> str:
 
 
 def error_budget(length: int, rate: float = RATE) -> int:
-    """Edits allowed for an item of that length; its pieces keep ``LEAST_PIECE`` characters."""
-    return max(0, min(int(length * rate), length // LEAST_PIECE - 1))
+    """Edits allowed for an item of that length."""
+    return int(length * rate + 1e-9)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -78,36 +86,69 @@ class Matcher:
     def __init__(self, items: list[tuple[object, str]], rate: float = RATE):
         import ahocorasick
 
-        self.items, places = [], defaultdict(list)
+        self.items, self.edges, places = [], [], defaultdict(list)
         for key, raw in items:
             item = normalise(raw)
-            if len(item) >= LEAST_ITEM:
+            if item:
                 budget = error_budget(len(item), rate)
-                for offset, piece in pieces(item, budget):
-                    places[piece].append((len(self.items), offset))
+                cut = pieces(item, budget)
+                for j, (_, piece) in enumerate(cut):
+                    places[piece].append((len(self.items), j))
                 self.items.append((key, item, budget))
+                self.edges.append([*(offset for offset, _ in cut), len(item)])
+        self.paths: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
         if places:
             self.automaton.make_automaton()
 
+    def path(self, leaves: int, j: int) -> list[tuple[int, int]]:
+        """The nodes above leaf ``j``, as ranges of leaves, the smallest first and without the whole."""
+        if (leaves, j) not in self.paths:
+            nodes, low, high = [], 0, leaves
+            while high - low > 1:
+                nodes.append((low, high))
+                middle = (low + high) // 2
+                low, high = (low, middle) if j < middle else (middle, high)
+            self.paths[leaves, j] = nodes[:0:-1]
+        return self.paths[leaves, j]
+
+    def climbs(self, i: int, j: int, start: int, text: str, known: dict) -> bool:
+        """Whether each node above piece ``j`` of item ``i``, which would begin at ``start``, occurs with few enough edits."""
+        item, edges = self.items[i][1], self.edges[i]
+        for low, high in self.path(len(edges) - 1, j):
+            at = (i, low, high, start)
+            if at not in known:
+                errors, a, b = high - low - 1, edges[low], edges[high]
+                part = item[a:b]
+                known[at] = text.startswith(part, start + a) if start + a >= 0 else False
+                if not known[at]:
+                    known[at] = myers(part, text[max(0, start + a - errors) : max(0, start + b + errors)])[0] <= errors
+            if not known[at]:
+                return False
+        return True
+
     def find(self, text: str) -> list[tuple[object, int, int]]:
         """``(item, distance, end)`` for each item within its budget of some part of the normalised text."""
         if not self.items:
             return []
-        windows = defaultdict(list)
+        windows, whole, known = defaultdict(set), {}, {}
         for last, (size, where) in self.automaton.iter(text):
-            for i, offset in where:
-                windows[i].append(last + 1 - size - offset)
+            for i, j in where:
+                if i not in whole:
+                    whole[i] = text.find(self.items[i][1])
+                start = last + 1 - size - self.edges[i][j]
+                if whole[i] < 0 and start not in windows[i] and self.climbs(i, j, start, text, known):
+                    windows[i].add(start)
         found = []
-        for i, starts in sorted(windows.items()):
+        for i, at in sorted(whole.items()):
             key, item, budget = self.items[i]
-            if item in text:
-                found.append((key, 0, text.index(item) + len(item)))
+            if at >= 0:
+                found.append((key, 0, at + len(item)))
                 continue
             best = (budget + 1, 0)
-            for a, b in _joined(sorted(set(starts)), budget, len(item)):
+            for a, b in _joined(sorted(windows[i]), budget, len(item)):
                 a = max(0, a)
                 distance, end = myers(item, text[a:b])
                 best = min(best, (distance, a + end))
@@ -146,16 +187,21 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(doc_id, item_id, distance, end)``, one row per document and item found in it; ``end`` counts normalised characters."""
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}, distance int, end long"
+    kind = benchmark.schema[item_col].dataType
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {kind.simpleString()}, distance int, end long"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    out = None
+    held, stored = None, None
     for block in blocks(benchmark, item_col, item_text_col, block_chars):
-        found = rows.mapInArrow(_finder(block, rate), schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+        if held is not None:
+            done = materialise(held, "leaks")
+            stored = done if stored is None else stored.unionByName(done)
+        held = rows.mapInArrow(_finder(block, rate, to_arrow_type(kind)), schema)
+    if held is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return held if stored is None else stored.unionByName(held)
 
 
-def _finder(block: list, rate: float):
+def _finder(block: list, rate: float, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(block, rate)
         for b in batches:
@@ -164,18 +210,21 @@ def _finder(block: list, rate: float):
                 out += [(i, *hit) for hit in matcher.find(normalise(x.as_py()))]
             take = pa.array([r[0] for r in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids.take(take), pa.array([r[1] for r in out], type=_kind(block)), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.int64())],
+                [ids.take(take), pa.array([r[1] for r in out], type=kind), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.int64())],
                 ["doc_id", "item_id", "distance", "end"],
             )
 
     return run
 
 
-def _kind(block: list) -> pa.DataType:
-    return pa.array([block[0][0]]).type
-
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` in whose text no item is found, with their own columns.
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` in whose text no item is found, with their own columns."""
-    leaks = matches(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs[id_col] == F.col("__leak"), "left_anti")
+    The verdict goes back by id and the text's hash, nulls equal: a row without an id is
+    judged by its own text, and so is each of several rows that share an id.
+    """
+    hashed = docs.withColumn(key := fresh_name(docs, "key"), F.xxhash64(text_col))
+    named = hashed.select(F.struct(id_col, key).alias("id"), F.col(text_col).alias("text"))
+    leaks = matches(named, benchmark, id_col="id", text_col="text", **options).select(F.col("doc_id").alias(of := fresh_name(docs, "of"))).distinct()
+    leaks = materialise(leaks, "leaked")  # stored, so its size is known: few leaks are broadcast and no text moves
+    return hashed.join(leaks, hashed[id_col].eqNullSafe(F.col(f"{of}.{id_col}")) & (hashed[key] == F.col(f"{of}.{key}")), "left_anti").drop(key)
