@@ -120,7 +120,7 @@ def op4_quote_threads(spark, d):
 
 @query
 def op6_chained_passages(spark, d):
-    return passages.repeated_passages(table(spark, d, "documents"))
+    return passages.classes(passages.repeated_passages(table(spark, d, "documents")))
 
 
 @query
