@@ -99,18 +99,24 @@ def op10_blob_ledger(spark, d):
 
 
 _M = quotes.MARKS
-SQL["op4_quote_threads"] = f"""
-with recursive m as (select conv_id, turn, role, string_split_regex(coalesce(text, ''), '\\r?\\n') as ls from conversations),
-f as (select conv_id, turn, length(regexp_replace(regexp_extract(x, '{_M}'), '[^>]', '', 'g')) as level, trim(regexp_replace(lower(regexp_replace(x, '{_M}', '')), '\\s+', ' ', 'g')) as line from (select conv_id, turn, unnest(ls) as x from m)),
-e as (select * from f where length(line) >= {quotes.MIN_CHARS} and conv_id is not null and turn is not null),
-own as (select conv_id, line, min(turn) as origin from e where level = 0 group by all),
-v as (select q.conv_id, q.turn, q.level, o.origin, count(*) as n from e q join own o on q.conv_id = o.conv_id and q.line = o.line and o.origin < q.turn where q.level > 0 group by all),
+SQL["op4_quote_threads"] = rf"""
+with recursive raw as (select row_number() over () as id, conv_id, turn, role, md5(coalesce(text, '')) as mark, string_split_regex(regexp_replace(coalesce(text, ''), '[\x01-\x04]', ' ', 'g'), '\r?\n') as ls from conversations),
+l as (select id, i, length(regexp_replace(regexp_extract(x, '{_M}'), '[^>]', '', 'g')) as level, regexp_replace(x, '{_M}', '') as line from (select id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as x from raw)),
+n as (select *, regexp_matches(line, '^\s*$') as blank, lead(level) over w as l1, lead(regexp_matches(line, '^\s*$')) over w as b1, lead(level, 2) over w as l2 from l window w as (partition by id order by i)),
+k as (select * from n where not (level = 0 and regexp_matches(line, '{quotes.ATTRIBUTION}') and coalesce(l1 > 0 or (l1 = 0 and b1 and l2 > 0), false))),
+g as (select *, case when blank then -1 else level end as kind, case when blank then -1 else level end is distinct from lag(case when blank then -1 else level end) over (partition by id order by i) as opens from k),
+r as (select id, kind as level, string_agg(line, ' ' order by i) as line from (select *, sum(opens::int) over (partition by id order by i) as run from g) group by id, run, kind having kind >= 0),
+u as (select distinct id, level, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) as unit from (select id, level, line as x from r union all select id, level, line from k union all select id, level, unnest(regexp_extract_all(line, '{quotes.SENTENCE}')) from r)),
+f as (select id, conv_id, turn from raw where conv_id is not null and turn is not null qualify row_number() over (partition by conv_id, turn order by role nulls first, mark) = 1),
+e as (select conv_id, turn, level, unit from u join f using (id) where unit <> ''),
+own as (select conv_id, unit, min(turn) as origin from e where level = 0 group by all),
+v as (select q.conv_id, q.turn, q.level, o.origin, sum(length(q.unit)) as n from e q join own o on q.conv_id = o.conv_id and q.unit = o.unit and o.origin < q.turn where q.level > 0 group by all),
 p as (select conv_id, turn, arg_max(origin, (-level, n, origin)) as parent from v group by all),
-r as (select conv_id, turn, parent, parent as root, 1 as depth from p union all select r.conv_id, r.turn, r.parent, p.parent, depth + 1 from r join p on r.conv_id = p.conv_id and r.root = p.turn),
-b as (select conv_id, turn, parent, arg_max(root, depth) as root, max(depth) as depth from r group by all)
-select m.conv_id, coalesce(root, m.turn) as root, coalesce(depth, 0) as depth, m.turn, parent, role,
-    regexp_replace(array_to_string(list_transform(list_filter(ls, lambda x: regexp_extract(x, '{_M}') = '' and not regexp_matches(x, '{quotes.ATTRIBUTION}')), lambda x: regexp_replace(x, '{_M}', '')), chr(10)), '^\\s+|\\s+$', '', 'g') as content
-from m left join b on m.conv_id = b.conv_id and m.turn = b.turn"""
+t as (select conv_id, turn, parent, parent as root, 1 as depth from p union all select t.conv_id, t.turn, t.parent, p.parent, depth + 1 from t join p on t.conv_id = p.conv_id and t.root = p.turn),
+b as (select conv_id, turn, parent, arg_max(root, depth) as root, max(depth) as depth from t group by all),
+c as (select id, regexp_replace(string_agg(line, chr(10) order by i), '^\s+|\s+$', '', 'g') as content from k where level = 0 group by id)
+select raw.conv_id, coalesce(root, raw.turn) as root, coalesce(depth, 0) as depth, raw.turn, parent, role, coalesce(content, '') as content
+from raw left join c on raw.id = c.id left join b on raw.conv_id = b.conv_id and raw.turn = b.turn"""
 
 
 @query

@@ -30,6 +30,7 @@ from skein.plans.scratch import materialise
 MIN_CHARS = 12
 #: Line endings of attribution lines.
 ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
+SENTENCE = r"[^.!?]+[.!?]*"
 MARKS = r"^\s*(?:>\s?)+"
 
 
