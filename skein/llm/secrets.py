@@ -1,21 +1,25 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
-A text is a blob, named by the SHA-256 of its bytes. The ledger is a Parquet
-table of scanned ``(blob_id, rules_version)`` pairs with their findings. A scan
-reads only blobs that the ledger lacks under the present rules, each once however
-many paths carry it, appends what it finds, and joins the ledger back to all
-paths. Rules are versioned by a hash of their definitions.
+A text is a blob, named by the SHA-256 of its bytes; every row is one version at one
+path. The ledger is a Parquet table of scanned ``(blob_id, rules_version)`` pairs with
+their findings. A scan hashes each text once and stores the names, picks one row for
+each blob that the ledger lacks under the present rules, appends what it finds there,
+and joins the ledger back to all versions and paths. Rules are versioned by a hash of
+their definitions. The rows to read are stored before texts are touched again: few of
+them are broadcast, so that a run over a known corpus moves no text.
 
 Defined results: a null text is the empty blob; every row is a path of its own,
-so repeated rows each get the findings; an empty table gives an empty table and
-leaves the ledger as it was; other columns are ignored.
+so repeated rows each get the findings; rows alike in id and text are read by each task
+that meets them, and the ledger keeps one row of them; null ids come back; an empty table
+gives an empty table and leaves the ledger as it was; other columns are ignored, whatever
+their names, but for those that ``carry`` names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,11 +66,14 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
 
 
 def scan_blobs(blobs: DataFrame) -> DataFrame:
-    """``(blob_id, rules_version, findings)`` of ``(blob_id, text)`` rows."""
+    """``(blob_id, rules_version, findings)`` of ``(blob_id, text)`` rows; a blob that a batch repeats is read once there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         for b in batches:
+            # rows alike in id and text stand next to each other after a shuffle
+            seen = set()
+            b = b.take(pa.array([i for i, x in enumerate(b.column("blob_id").to_pylist()) if not (x in seen or seen.add(x))], pa.int64()))
             found = [[{"start": s, "end": e, "kind": k} for s, e, k in spans(x.as_py())] for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("blob_id"), pa.array([RULES_VERSION] * b.num_rows), pa.array(found, kind)], ["blob_id", "rules_version", "findings"])
 
@@ -85,26 +92,26 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], LEDGER_SCHEMA)
 
 
-def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Findings of every row of ``docs``: ``(doc_id, blob_id, findings)``.
+def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """Findings of every row of ``docs``: ``(doc_id, blob_id, findings)`` and the columns of ``carry``, such as a path and a revision.
 
     ``ledger`` is a folder that driver and executors share; without one a new
-    ledger starts in the session's scratch folder. Texts move once, from the scan
-    to the one row that stands for each unseen blob.
+    ledger starts in the session's scratch folder.
     """
     spark = docs.sparkSession
     ledger = ledger or scratch_path(spark, "ledger")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("blob_id", F.sha2(F.col("text").cast("binary"), 256))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    name = F.sha2(F.col("text").cast("binary"), 256)
+    paths = materialise(rows.withColumn("blob_id", name).drop("text"), "paths")
     known = read_ledger(spark, ledger).where(F.col("rules_version") == RULES_VERSION).select("blob_id")
-    unseen = rows.groupBy("blob_id").agg(F.min(F.struct("doc_id")).alias("first")).join(known, "blob_id", "left_anti")
-    heads = unseen.select(F.col("blob_id").alias("head_blob"), F.col("first.doc_id").alias("head"))
-    # ids may repeat with other texts, so the blob is compared as well; rows that agree in both are one blob again
-    fresh = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("blob_id") == F.col("head_blob"))).select("blob_id", "text")
-    scan_blobs(fresh).write.mode("append").parquet(ledger)
-    done = read_ledger(spark, ledger).where(F.col("rules_version") == RULES_VERSION).select(F.col("blob_id").alias("of"), "findings").dropDuplicates(["of"])
+    heads = paths.groupBy("blob_id").agg(F.min("row_key").alias("head")).join(known, "blob_id", "left_anti")
+    heads = materialise(heads.select(F.col("blob_id").alias("head_blob"), "head"), "heads")
+    if not heads.isEmpty():
+        fresh = rows.select("row_key", "text").join(heads, F.col("row_key") == F.col("head")).where(name == F.col("head_blob")).select(F.col("head_blob").alias("blob_id"), "text")
+        scan_blobs(fresh).dropDuplicates(["blob_id"]).write.mode("append").parquet(ledger)
+    done = read_ledger(spark, ledger).where(F.col("rules_version") == RULES_VERSION).select(F.col("blob_id").alias("found_blob"), "findings").dropDuplicates(["found_blob"])
     done = materialise(done, "findings")  # a stored side: the join below can then split a blob that very many paths carry
-    return rows.select("doc_id", "blob_id").join(done, F.col("blob_id") == F.col("of"), "left").select("doc_id", "blob_id", "findings")
+    return paths.join(done, F.col("blob_id") == F.col("found_blob"), "left").select("doc_id", "blob_id", "findings", *[c for c in carry if c != id_col])
 
 
 def digest(found: DataFrame) -> DataFrame:
