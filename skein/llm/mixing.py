@@ -9,10 +9,10 @@ passes and, of one more pass, the documents that fit into what its budget has
 left. Running sums are taken in a block and over blocks, so no group outgrows
 the square root of a source.
 
-Defined results: a null source is a source of its own; a null or blank text has
-no tokens and costs no budget; a source without tokens gets weight 0 and no copies;
-repeated rows are drawn one by one; an empty table gives an empty table; other
-columns are ignored.
+Defined results: a null source counts as the source with the empty name; a null or
+blank text has no tokens and costs no budget; a source without tokens gets weight 0 and
+no copies, or one with ``cover``; repeated rows are drawn one by one; null ids come back;
+an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.plans.scratch import materialise
+from skein.plans.scratch import fresh_name, materialise
 
 LEVELS, ROUNDS = 4, 8
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -98,10 +98,11 @@ def _log(x: float) -> float:
 
 
 def mix(docs: DataFrame, budget_tokens: int | None = None, target_entropy: float | None = None, max_repeat: float | None = 2.0, cover: bool = False, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(doc_id, source, tokens, weight, copies)`` for every row of ``docs``.
+    """``(doc_id, source, block, tokens, weight, copies)`` for every row of ``docs``.
 
     ``budget_tokens`` defaults to the corpus's own; ``cover`` takes instead the
-    least budget that draws every document at least once.
+    least budget that draws every document at least once, those of sources without
+    tokens once.
     """
     counted = materialise(count_tokens(docs, id_col, text_col, source_col), "counted")
     stats = materialise(source_stats(counted), "sources")
@@ -115,7 +116,7 @@ def mix(docs: DataFrame, budget_tokens: int | None = None, target_entropy: float
     if cover:
         budget = total * scale * z
     weighed = weighed.withColumn("weight", F.col("w") / F.lit(z)).withColumn("budget", F.col("weight") * F.lit(budget))
-    passes = F.coalesce(F.floor(F.try_divide(F.col("budget"), F.col("source_tokens")) + F.lit(1e-9)), F.lit(0)).cast("long")
+    passes = F.coalesce(F.floor(F.try_divide(F.col("budget"), F.col("source_tokens")) + F.lit(1e-9)), F.lit(int(cover))).cast("long")
     plan = materialise(
         weighed.select(
             F.col("source").alias("of"), "weight", passes.alias("passes"), F.greatest(F.lit(0.0), F.col("budget") - passes * F.col("source_tokens")).alias("rest"),
@@ -133,13 +134,22 @@ def mix(docs: DataFrame, budget_tokens: int | None = None, target_entropy: float
     blocks = blocks.select(F.col("source").alias("bs"), F.col("block").alias("bb"), F.coalesce(F.sum("block_tokens").over(before), F.lit(0)).alias("before"))
     joined = placed.join(blocks, (F.col("source") == F.col("bs")) & (F.col("block") == F.col("bb")))
     extra = F.when((F.col("source_tokens") > 0) & (F.col("before") + F.col("upto") <= F.col("rest")), F.lit(1)).otherwise(0)
-    return joined.select("doc_id", "source", "tokens", "weight", (F.col("passes") + extra).cast("long").alias("copies"))
+    return joined.select("doc_id", "source", "block", "tokens", "weight", (F.col("passes") + extra).cast("long").alias("copies"))
 
 
 def draws(mixed: DataFrame, seed: int = 17) -> DataFrame:
-    """One row per drawn copy: ``(doc_id, source, pass, place)``; each pass is another permutation."""
+    """One row per drawn copy: ``(doc_id, source, pass, block_place, place)``.
+
+    A source's copies stand in order of pass, block_place and place: each pass is a
+    permutation of its blocks, another one each time, and of the documents in each block.
+    """
     rows = mixed.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select("doc_id", "source", "pass", _key(str(seed), "draw", F.col("pass").cast("string"), F.col("doc_id").cast("string")).alias("place"))
+    at = F.col("pass").cast("string")
+    return rows.select(
+        "doc_id", "source", "pass",
+        _key(str(seed), "blocks", at, F.col("source"), F.col("block").cast("string")).alias("block_place"),
+        _key(str(seed), "draw", at, F.col("source"), F.col("doc_id").cast("string")).alias("place"),
+    )
 
 
 def keep_mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -147,7 +157,8 @@ def keep_mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
     Rows with equal ids take the copies of the one drawn most; a row without an id is drawn once.
     """
-    copies = mix(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.max("copies").alias("__n")).withColumnRenamed("doc_id", "__of")
-    joined = docs.join(copies, docs[id_col] == F.col("__of"), "left")
-    times = F.when(F.col("__of").isNull(), F.lit(1)).otherwise(F.col("__n")).cast("int")
-    return joined.where(times > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[docs[c] for c in docs.columns])
+    of, n, copy = (fresh_name(docs, x) for x in ("of", "n", "copy"))
+    copies = mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias(of)).agg(F.max("copies").alias(n))
+    joined = docs.join(copies, docs[id_col] == F.col(of), "left")
+    times = F.when(F.col(of).isNull(), F.lit(1)).otherwise(F.col(n)).cast("int")
+    return joined.where(times > 0).withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).select(*[docs[c] for c in docs.columns])

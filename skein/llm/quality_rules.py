@@ -5,9 +5,9 @@ before the shuffle, so a host with a third of all rows is one small row per
 task), the rates are shrunk towards the corpus with a beta prior fitted by
 moments to the hosts, and the hosts' verdicts go back to their documents.
 
-Defined results: a null text counts as empty and fails; a null host is a host
-of its own; repeated rows are judged one by one; an empty table gives an empty
-table; other columns are ignored.
+Defined results: a null text counts as empty and fails; a null host counts as the
+host with the empty name; repeated rows are judged one by one; null ids come back; an
+empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.plans.scratch import materialise
+from skein.plans.scratch import fresh_name, materialise
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -133,7 +133,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     return joined.select("doc_id", "host", *MEASURES, "base_failed", kept.alias("kept"), failures.alias("n_failed"))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id no verdict rejects, with their own columns."""
-    gone = judge(docs, id_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` that no verdict rejects, with their own columns.
+
+    The verdict goes back by id and a hash of text and host, nulls equal: a row without an
+    id is judged by its own text, and so is each of several rows that share an id.
+    """
+    key, of = fresh_name(docs, "key"), fresh_name(docs, "of")
+    hashed = docs.withColumn(key, F.xxhash64(text_col, host_col))
+    named = hashed.select(F.struct(F.col(id_col).alias("id"), F.col(key).alias("key")).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
+    gone = judge(named, "id", "text", "host", **options).where("not kept").select(F.col("doc_id").alias(of)).distinct()
+    gone = materialise(gone, "gone")  # stored, so its size is known: few are broadcast and no document moves
+    return hashed.join(gone, hashed[id_col].eqNullSafe(F.col(f"{of}.id")) & (hashed[key] == F.col(f"{of}.key")), "left_anti").select(*[hashed[c] for c in docs.columns])

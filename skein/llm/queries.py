@@ -40,7 +40,7 @@ select doc_id, u.source, tokens, round(weight, 6) as weight, passes + (st > 0 an
 @query
 def op1_temperature_mix(spark, d):
     """Weights are rounded: their last bits depend on the order of sums."""
-    return mixing.mix(table(spark, d, "documents"), max_repeat=2.0).withColumn("weight", F.round("weight", 6))
+    return mixing.mix(table(spark, d, "documents"), max_repeat=2.0).drop("block").withColumn("weight", F.round("weight", 6))
 
 
 @query

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.components import connected_components
-from skein.plans.scratch import materialise
+from skein.plans.scratch import fresh_name, materialise
 
 SEED = 42
 #: Generator polynomial of the Golay code (23, 12, 7), x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -211,11 +211,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(mapped, F.col("fp") == F.col("of")).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each component: that of its least id, with its own columns.
 
-    Rows that repeat that id count as copies of it; a component without any id
-    can't be named and is dropped.
+    Of rows that share this id, the one with the least hash of all its columns stays, so a
+    rerun keeps the same one; of rows alike in every column one stays. A component without
+    any id can't be named and is dropped.
     """
-    heads = near_duplicates(docs, id_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__head")).distinct()
-    return docs.join(heads, docs[id_col] == F.col("__head"), "left_semi").dropDuplicates([id_col])
+    key, of, n = (fresh_name(docs, x) for x in ("key", "of", "n"))
+    hashed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    named = hashed.select(F.struct(F.col(id_col).isNull().alias("lacks"), F.col(id_col).alias("id"), F.col(key).alias("key")).alias("id"), F.col(text_col).alias("text"))
+    heads = near_duplicates(named, "id", "text", **options).where("doc_id = component_id and not doc_id.lacks")
+    heads = materialise(heads.groupBy(F.col("doc_id").alias(of)).agg(F.count("*").alias(n)), "heads")  # stored, so its size is known
+    met = (F.col(id_col) == F.col(f"{of}.id")) & (F.col(key) == F.col(f"{of}.key"))
+    once = hashed.join(heads.where(F.col(n) == 1), met, "left_semi")
+    alike = hashed.join(heads.where(F.col(n) > 1), met, "left_semi").dropDuplicates([id_col, key])
+    return once.unionByName(alike).select(*[once[c] for c in docs.columns])
