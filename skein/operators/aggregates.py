@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.operators.vectors import dims_of
 
-def mean_vector(df: DataFrame, key: str, vec_col: str, weight: Column | None = None) -> DataFrame:
-    """``(key, vector)``: weighted mean of vectors by group; null where the weights sum to 0.
 
-    Positions are exploded and summed with map-side partial sums, so a large group
-    costs one row per task and position.
+def mean_vector(df: DataFrame, key: str, vec_col: str, weight: Column | None = None, dims: int | None = None) -> DataFrame:
+    """``(key, vector)``: weighted mean of vectors by group; null where the weights sum to 0 or are all null.
+
+    One aggregate buffer a key with a sum for each of ``dims`` positions (read from a row
+    if not given): no explode, and partial sums before the shuffle. Rows without a vector
+    or a weight count for nothing; vectors are of one length.
     """
-    w = F.lit(1.0) if weight is None else weight.cast("double")
-    rows = df.select(key, w.alias("w"), F.posexplode(F.col(vec_col).cast("array<double>")).alias("pos", "x"))
-    sums = rows.groupBy(key, "pos").agg(F.sum(F.col("w") * F.col("x")).alias("s"), F.sum("w").alias("w"))
-    cells = sums.select(key, F.struct("pos", F.try_divide("s", "w").alias("x")).alias("c"))
-    out = cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["x"]).alias("vector"))
-    return out.select(key, F.when(F.exists("vector", lambda x: x.isNull()), None).otherwise(F.col("vector")).alias("vector"))
+    n = dims_of(df, vec_col) if dims is None else dims
+    w = F.when(F.col(vec_col).isNotNull(), F.lit(1.0) if weight is None else weight.cast("double"))
+    rows = df.select(key, w.alias("w"), F.col(vec_col).alias("x"))
+    sums = rows.groupBy(key).agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.get("x", F.lit(i))).alias(f"s{i}") for i in range(n)])
+    return sums.select(key, F.when(F.col("w") != 0, F.array(*[F.col(f"s{i}") / F.col("w") for i in range(n)])).alias("vector"))
 
 
 def uplift(df: DataFrame, flag: str, outcome: str, *keys: str) -> DataFrame:

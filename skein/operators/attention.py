@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.vectors import dot, l2, norm
+from skein.operators.vectors import bound, dot, l2, norm
 
 
 def _heads(v: Column, heads: int, dims: int) -> Column:
@@ -50,7 +50,7 @@ def attend(pairs: DataFrame, dims: int, heads: int = 1, kernel: str = "softmax")
 
 def poincare(a: str, b: str, curve: float = 1.0) -> Column:
     """Distance in the Poincare ball after both vectors are drawn inside it (length n becomes n / (1 + n))."""
-    inside = lambda v: F.transform(F.col(v).cast("array<double>"), lambda x: x / (1 + norm(v)))
+    inside = lambda v: bound(1 + norm(v), lambda n: F.transform(F.col(v).cast("array<double>"), lambda x: x / n))
     na, nb = norm(a) / (1 + norm(a)), norm(b) / (1 + norm(b))
     gap = F.pow(l2(inside(a), inside(b)), F.lit(2))
     return F.acosh(F.greatest(F.lit(1.0), 1 + 2 * gap / ((1 - na * na) * (1 - nb * nb)))) / curve**0.5

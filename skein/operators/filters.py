@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,23 @@ def json_field(column: str) -> Callable[[str], Column]:
 def map_equals(column: str, want: Mapping[str, str]) -> Column:
     """Every key has its value in a map column; a missing key fails."""
     return reduce(lambda a, b: a & b, [F.coalesce(F.try_element_at(F.col(column), F.lit(k)) == v, F.lit(False)) for k, v in want.items()], F.lit(True))
+
+
+def safe_where(df: DataFrame, allowed: Mapping[str, Sequence[str]], name: str, conditions: Mapping[str, Any]) -> DataFrame:
+    """Rows of the table ``name`` that equal all conditions; a table or column that isn't allowed raises. Values are bound as literals, never as text of a query."""
+    if name not in allowed:
+        raise ValueError(f"table {name!r} is not allowed")
+    if not isinstance(conditions, Mapping) or not conditions:
+        raise ValueError("conditions are a mapping of at least one column")
+    for column in conditions:
+        if column not in allowed[name]:
+            raise ValueError(f"column {column!r} of {name!r} is not allowed")
+    return df.where(reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in conditions.items()]))
+
+
+def valid_filter(spec: Column) -> Column:
+    """Whether a JSON text is a filter: an object whose ``$in`` and ``$nin`` take arrays."""
+    fields = F.from_json(spec, "map<string,string>")
+    lists = lambda ops: F.forall(F.map_entries(ops), lambda e: ~e["key"].isin("$in", "$nin") | e["value"].startswith("["))
+    told = F.forall(F.map_values(fields), lambda v: ~v.startswith("{") | F.coalesce(lists(F.from_json(v, "map<string,string>")), F.lit(False)))
+    return F.coalesce(F.trim(spec).startswith("{") & told, F.lit(False))

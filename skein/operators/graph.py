@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.operators.components import connected_components
+from skein.operators.vectors import knn
 from skein.plans.scratch import materialise
 
 
@@ -21,20 +26,25 @@ def paths(edges: DataFrame, start: DataFrame, depth: int, src: str = "src", dst:
     return out
 
 
-def shortest(edges: DataFrame, sources: DataFrame, max_hops: int = 50, bound: float | None = None) -> DataFrame:
-    """``(source, node, dist)`` by relaxing all edges until nothing improves; distances over ``bound`` are left out."""
+def shortest(edges: DataFrame, sources: DataFrame, max_hops: int = 10_000, bound: float | None = None, steps: int | None = None) -> DataFrame:
+    """``(source, node, dist)`` by relaxing all edges until nothing improves; distances over ``bound`` are left out.
+
+    With ``steps`` the walk ends after so many hops; without it, one that has not settled in ``max_hops`` raises.
+    """
     e = edges.select(F.col("src").alias("s"), F.col("dst").alias("t"), F.col("weight").alias("c"))
     dist = materialise(sources.select(F.col(sources.columns[0]).alias("source"), F.col(sources.columns[0]).alias("node"), F.lit(0.0).alias("dist")), "sssp")
     front = dist
-    for _ in range(max_hops):
+    for _ in range(max_hops if steps is None else steps):
         step = front.join(e, F.col("node") == F.col("s")).groupBy("source", F.col("t").alias("node")).agg(F.min(F.col("dist") + F.col("c")).alias("new"))
         if bound is not None:
             step = step.where(F.col("new") <= bound)
         both = materialise(dist.join(step, ["source", "node"], "full_outer").select("source", "node", F.least("dist", "new").alias("dist"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("better")), "sssp")
         dist, front = both.select("source", "node", "dist"), both.where("better").select("source", "node", "dist")
         if front.isEmpty():
-            break
-    return dist
+            return dist
+    if steps is not None:
+        return dist
+    raise RuntimeError(f"distances did not settle in {max_hops} hops")
 
 
 def closure(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
@@ -105,3 +115,107 @@ def local_moves(edges: DataFrame, rounds: int = 6) -> DataFrame:
         gain = F.struct((F.col("inside") - F.col("k") * rest / total).alias("g"), (-F.col("label")).alias("low"))
         labels = materialise(votes.where(ahead).groupBy("node").agg(F.max_by("label", gain).alias("label"), F.first("k").alias("k")), "moves")
     return labels.select("node", "label")
+
+
+def refine(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(node, label)``: each community split into its connected parts, named by the least node; every community is then connected."""
+    named = labels.select("node", "label")
+    a, b = named.select(F.col("node").alias("src"), F.col("label").alias("la")), named.select(F.col("node").alias("dst"), F.col("label").alias("lb"))
+    inside = edges.select("src", "dst").where("src <> dst").join(a, "src").join(b, "dst").where("la = lb")
+    parts = connected_components(inside)
+    return named.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
+
+
+def leiden(edges: DataFrame, rounds: int = 6) -> DataFrame:
+    """``(node, label)``: communities by local moves, refined so that each is connected."""
+    return refine(edges, local_moves(edges, rounds))
+
+
+def spectral(edges: DataFrame, k: int, rounds: int = 30, seed: int = 3) -> DataFrame:
+    """``(node, label)``: k-means over the leading ``k`` eigenvectors of the normalised adjacency with self loops.
+
+    Orthogonal iteration: a round is one join and one aggregate over the edges; the ``k`` by
+    ``k`` matrix of inner products goes to the driver and its inverse root back as literals.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    degree = both.groupBy(F.col("src").alias("node")).agg((F.count("*") + 1).alias("d"))
+    nodes = materialise(degree, "degrees")
+    links = both.join(nodes.select(F.col("node").alias("src"), F.col("d").alias("ds")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("d").alias("dd")), "dst")
+    links = materialise(links.select("src", "dst", (1 / F.sqrt(F.col("ds") * F.col("dd"))).alias("w")), "normalised")
+    draw = [F.xxhash64("node", F.lit(seed), F.lit(i)).cast("double") / float(2**63) for i in range(k)]
+    at = nodes.select("node", "d", F.array(*draw).alias("v"))
+    for _ in range(rounds):
+        at = materialise(_orthonormal(at, k), "spectral")
+        sums = links.join(at.select(F.col("node").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("node")).agg(*[F.sum(F.col("w") * F.get("v", F.lit(i))).alias(f"s{i}") for i in range(k)])
+        # half of the old vector keeps the iteration at the positive end of the spectrum
+        at = at.join(sums, "node").select("node", "d", F.array(*[0.5 * F.get("v", F.lit(i)) + 0.5 * (F.get("v", F.lit(i)) / F.col("d") + F.col(f"s{i}")) for i in range(k)]).alias("v"))
+    at = materialise(_orthonormal(at, k), "spectral")
+    length = F.sqrt(F.aggregate("v", F.lit(1e-300), lambda s, x: s + x * x))
+    rows = at.select("node", array_to_vector(F.transform("v", lambda x: x / length)).alias("features"))
+    fitted = KMeans(k=k, seed=seed).fit(rows)
+    return fitted.transform(rows).select("node", F.col("prediction").cast("long").alias("label"))
+
+
+def _orthonormal(at: DataFrame, k: int) -> DataFrame:
+    """The vectors times the inverse Cholesky factor of their inner products."""
+    sums = [F.sum(F.get("v", F.lit(i)) * F.get("v", F.lit(j))) for i in range(k) for j in range(k)]
+    gram = np.array(at.agg(*sums).first(), float).reshape(k, k)
+    turn = np.linalg.inv(np.linalg.cholesky(gram + 1e-12 * np.eye(k))).T
+    columns = [sum((F.get("v", F.lit(i)) * float(turn[i, j]) for i in range(k)), F.lit(0.0)) for j in range(k)]
+    return at.select("node", "d", F.array(*columns).alias("v"))
+
+
+def choose_paths(nodes: int, edges: int, large: int = 10_000_000, sparse_from: int = 100_000) -> str:
+    """Plan for shortest distances: landmarks for very large graphs and for sparse ones (mean degree under the log of the nodes) of some size, else relaxation."""
+    sparse = nodes > 0 and edges / nodes < math.log2(nodes)
+    return "landmarks" if nodes > large or (sparse and nodes > sparse_from) else "relax"
+
+
+def nearest_pivots(frontier: DataFrame, pivots: DataFrame, parts: int) -> DataFrame:
+    """``(node, part)``: each node of ``(node, dist)`` goes to the pivot of nearest distance, ties to the first, and a pivot's part is its place modulo ``parts``.
+
+    Pivots ``(place, dist)`` are a short list (a stated number of them) that goes to every task.
+    """
+    gap = F.struct(F.abs(F.col("dist") - F.col("pd")).alias("gap"), F.col("place"))
+    near = frontier.crossJoin(F.broadcast(pivots.select("place", F.col("dist").alias("pd")))).groupBy("node").agg(F.min(gap).alias("g"))
+    return near.select("node", (F.col("g.place") % parts).alias("part"))
+
+
+class GraphStore:
+    """Nodes ``(node, v, ...)`` and edges ``(src, dst, weight)`` behind one interface."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame):
+        self.nodes, self.edges = nodes, edges
+
+    def traverse(self, start, depth: int) -> DataFrame:
+        """``(node, hops)`` of what is reached in 1 to ``depth`` steps, by the fewest; the start is left out."""
+        e = self.edges.select(F.col("src").alias("s"), F.col("dst").alias("t")).distinct()
+        seen = self.edges.sparkSession.createDataFrame([(start, 0)], f"node {self.edges.schema['src'].dataType.simpleString()}, hops int")
+        front = seen
+        for hop in range(1, depth + 1):
+            step = front.join(e, F.col("node") == F.col("s")).select(F.col("t").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+            front = materialise(step.withColumn("hops", F.lit(hop)), "front")
+            seen = seen.unionByName(front)
+        return seen.where("hops > 0")
+
+    def shortest_path(self, source, target) -> list:
+        """The nodes of a cheapest path, ends included, or an empty list; ties go to the least node before."""
+        spark = self.edges.sparkSession
+        kind = self.edges.schema["src"].dataType.simpleString()
+        dist = shortest(self.edges, spark.createDataFrame([(source,)], f"n {kind}"))
+        path = [target]
+        if dist.where(F.col("node") == target).isEmpty():
+            return []
+        while path[-1] != source:
+            d = dist.where(F.col("node") == path[-1]).first()["dist"]
+            near = self.edges.where(F.col("dst") == path[-1]).join(dist.select(F.col("node").alias("src"), "dist"), "src")
+            path.append(near.where(F.abs(F.col("dist") + F.col("weight") - d) < 1e-9).agg(F.min("src")).first()[0])
+        return path[::-1]
+
+    def vector_search(self, query: list[float], k: int, context=None, depth: int = 2) -> DataFrame:
+        """``(node, score)``: the ``k`` nodes most similar to a vector, with ``context`` only those within ``depth`` steps of it."""
+        nodes = self.nodes if context is None else self.nodes.join(self.traverse(context, depth).select("node"), "node", "left_semi")
+        return knn(nodes, query, "node", "v", k)

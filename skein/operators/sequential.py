@@ -4,57 +4,75 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from skein.plans.ordered import running
+from skein.plans.scratch import materialise
 
 
 def q_learning(steps: DataFrame, alpha: float = 0.1, gamma: float = 0.9) -> DataFrame:
-    """``(session, state, action, q)`` after one pass over ``(session, at, state, action, reward, next_state)`` in order of ``at``."""
+    """``(session, state, action, q)`` after one pass over ``(session, at, state, action, reward, next_state)`` in order of ``at``.
+
+    Sessions are dealt out by hash and sorted, and each is folded as its rows stream by: a
+    task holds one session's table of states and actions, never its rows.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q: dict[tuple, float] = {}
-        best: dict[str, dict] = {}
-        for r in pdf.sort_values("at").itertuples():
-            ahead = max(best.get(r.next_state, {None: 0.0}).values()) if r.next_state is not None else 0.0
-            old = q.get((r.state, r.action), 0.0)
-            q[r.state, r.action] = best.setdefault(r.state, {})[r.action] = old + alpha * (r.reward + gamma * ahead - old)
-        return pd.DataFrame([(pdf["session"].iloc[0], s, a, v) for (s, a), v in q.items()], columns=["session", "state", "action", "q"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, q, best = None, {}, {}
+        for b in batches:
+            rows = []
+            for new, state, action, reward, ahead in zip(*[b.column(c).to_pylist() for c in ("session", "state", "action", "reward", "next_state")]):
+                if new != session or not q:
+                    rows += [(session, s, a, v) for (s, a), v in q.items()]
+                    session, q, best = new, {}, {}
+                value = max(best.get(ahead, {None: 0.0}).values()) if ahead is not None else 0.0
+                old = q.get((state, action), 0.0)
+                q[state, action] = best.setdefault(state, {})[action] = old + alpha * (reward + gamma * value - old)
+            yield batch(rows)
+        yield batch([(session, s, a, v) for (s, a), v in q.items()])
 
-    return steps.groupBy("session").applyInPandas(run, "session long, state string, action string, q double")
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * 4
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["session", "state", "action", "q"])
+
+    dealt = steps.repartition("session").sortWithinPartitions("session", "at")
+    return dealt.mapInArrow(run, "session long, state string, action string, q double")
 
 
 def bandit(df: DataFrame, key: str, order: list[str], reward: str, start: float = 1.0) -> DataFrame:
     """``(key, n, mean, spread)``: running mean, and spread 0.9 of the old plus 0.1 of the gap to the mean so far, in order.
 
-    Unrolled, the spread is a sum of gaps weighted by powers of 0.9, so windows stream over
-    a key's rows and partial sums meet; no key is gathered into an array.
+    Unrolled, the spread is a sum of gaps weighted by powers of 0.9; numbers and running
+    sums come from ranges of a key's rows and partial sums meet, so no key is one task.
     """
-    up, down = Window.partitionBy(key).orderBy(*order), Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    so_far = F.coalesce(F.avg(reward).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rows = df.select(key, F.col(reward).alias("r"), F.abs(F.col(reward) - so_far).alias("gap"), (F.row_number().over(down) - 1).alias("age"))
-    g = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.sum(0.1 * F.pow(F.lit(0.9), F.col("age")) * F.col("gap")).alias("s"))
+    rows = running(df.select(key, *order, F.col(reward).cast("double").alias("r")), [key], [F.col(c) for c in order], "n", {"total": F.col("r")})
+    most = materialise(rows.groupBy(F.col(key).alias("of")).agg(F.max("n").alias("most")), "arms")
+    so_far = F.coalesce(F.try_divide(F.col("total") - F.col("r"), F.col("n") - 1), F.lit(0.0))
+    fade = F.pow(F.lit(0.9), F.col("most") - F.col("n"))
+    g = rows.join(most, F.col(key).eqNullSafe(F.col("of"))).groupBy(key).agg(F.max("n").alias("n"), F.avg("r").alias("mean"), F.sum(0.1 * fade * F.abs(F.col("r") - so_far)).alias("s"))
     return g.select(key, "n", "mean", (F.col("s") + start * F.pow(F.lit(0.9), F.col("n"))).alias("spread"))
 
 
-def hitting_set(cover: DataFrame) -> DataFrame:
-    """``(query, chunk, step)``: greedy least set of chunks of ``(query, chunk, requirement)`` that meets all requirements; ties to the least chunk."""
+def hitting_set(cover: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """``(query, chunk, step)``: greedy least set of chunks of ``(query, chunk, requirement)`` that meets all requirements; ties to the least chunk.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for query, chunks in zip(b["query"], b["chunks"]):
-                sets = {c["chunk"]: set(c["needs"]) for c in chunks}
-                left, step = set().union(*sets.values()), 0
-                while left:
-                    chunk, step = min(sets, key=lambda c: (-len(sets[c] & left), c)), step + 1
-                    left -= sets[chunk]
-                    rows.append((query, chunk, step))
-            yield pd.DataFrame(rows, columns=["query", "chunk", "step"])
-
-    chunks = cover.groupBy("query", "chunk").agg(F.collect_set("requirement").alias("needs"))
-    return chunks.groupBy("query").agg(F.collect_list(F.struct("chunk", "needs")).alias("chunks")).mapInPandas(run, "query long, chunk long, step long")
+    A round is two aggregates and a join over what is left: each query takes the chunk that
+    meets most, and what it meets goes. A query has as many rounds as its set has chunks.
+    """
+    left, out = materialise(cover.select("query", "chunk", "requirement").distinct(), "cover"), None
+    for step in range(1, max_rounds + 1):
+        if left.isEmpty():
+            return out if out is not None else left.select("query", "chunk", F.lit(0).cast("long").alias("step"))
+        met = left.groupBy("query", "chunk").agg(F.count("*").alias("n"))
+        best = materialise(met.groupBy("query").agg(F.max_by("chunk", F.struct("n", (-F.col("chunk")).alias("low"))).alias("chunk")), "chosen")
+        chosen = best.select("query", "chunk", F.lit(step).cast("long").alias("step"))
+        out = chosen if out is None else out.unionByName(chosen)
+        gone = left.join(best, ["query", "chunk"], "left_semi").select("query", "requirement")
+        left = materialise(left.join(gone, ["query", "requirement"], "left_anti"), "cover")
+    raise RuntimeError(f"covers did not settle in {max_rounds} rounds")
 
 
 def instant_runoff(ballots: DataFrame) -> list[tuple[int, str, int, bool]]:

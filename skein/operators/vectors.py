@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from skein.plans.scratch import materialise
 
 
 def _c(x: Column | str) -> Column:
@@ -41,9 +46,21 @@ def l1(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often ``use`` takes it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def unit(a: Column | str) -> Column:
     """The vector over its length; null for a zero vector."""
-    return F.transform(_c(a).cast("array<double>"), lambda x: F.try_divide(x, norm(a)))
+    v = _c(a).cast("array<double>")
+    return bound(norm(a), lambda n: F.transform(v, lambda x: F.try_divide(x, n)))
+
+
+def dims_of(df: DataFrame, vec_col: str = "embedding") -> int:
+    """Length of the vectors of a table, from one row; 0 for an empty one."""
+    row = df.where(F.col(vec_col).isNotNull()).select(F.size(vec_col)).first()
+    return row[0] if row else 0
 
 
 def vector_of(df: DataFrame, id_col: str, key, vec_col: str = "embedding") -> list[float]:
@@ -67,21 +84,38 @@ def knn(df: DataFrame, query: Sequence[float], id_col: str, vec_col: str, k: int
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def consolidate(df: DataFrame, group: str, id_col: str, vec_col: str, threshold: float = 0.8, most: int = 10) -> DataFrame:
+def consolidate(df: DataFrame, group: str, id_col: str, vec_col: str, threshold: float = 0.8, block: int = 64) -> DataFrame:
     """``(group, leader, id)``: greedy leaders of each group in order of id; a vector joins the first leader it is more similar to than ``threshold``.
 
-    A round takes the least id left in every group as leader and hands out its members, so no group is gathered in one
-    place; there are ``most`` rounds at most, and vectors left after them have no leader and no row.
+    A round takes the ``block`` least ids left in every group, finds the leaders among
+    them in order, and hands out to these all vectors of the group that are left. So no
+    group is gathered in one place, every vector gets its leader, and there are about as
+    many rounds as the most leaders of a group over ``block``.
     """
-    from skein.plans.scratch import materialise
-
-    left, out = df.select(F.col(group).alias("group"), F.col(id_col).alias("id"), F.col(vec_col).alias("v")), None
-    for _ in range(most):
-        lead = left.groupBy("group").agg(F.min("id").alias("leader"), F.min_by("v", "id").alias("lv"))
-        seen = materialise(left.join(lead, "group").withColumn("in", (F.col("id") == F.col("leader")) | (cosine("v", "lv") > threshold)), "leaders")
-        step = seen.where(F.col("in")).select("group", "leader", "id")
+    left, out = df.select(F.col(group).alias("group"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null"), None
+    while True:
+        w = Window.partitionBy("group").orderBy("id")
+        first = left.withColumn("i", F.row_number().over(w)).where(F.col("i") <= block).drop("i")
+        leaders = first.groupBy("group").applyInPandas(_leaders(threshold), f"group {df.schema[group].dataType.simpleString()}, leaders array<struct<id:long,v:array<double>>>")
+        near = F.filter("leaders", lambda x: (x["id"] == F.col("id")) | ((x["id"] < F.col("id")) & (cosine(x["v"], F.col("v")) > threshold)))
+        seen = materialise(left.join(leaders, "group").select("group", "id", "v", F.try_element_at(near, F.lit(1))["id"].alias("leader")), "leaders")
+        step = seen.where("leader is not null").select("group", "leader", "id")
         out = step if out is None else out.unionByName(step)
-        left = seen.where(~F.col("in")).select("group", "id", "v")
+        left = seen.where("leader is null").select("group", "id", "v")
         if left.isEmpty():
-            break
-    return out
+            return out
+
+
+def _leaders(threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.array(pdf["v"].tolist(), float)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        u = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+        chosen: list[int] = []
+        for i in np.argsort(pdf["id"].to_numpy(), kind="stable"):
+            if not chosen or not (u[chosen] @ u[i] > threshold).any():
+                chosen.append(int(i))
+        rows = [{"id": int(pdf["id"].iloc[i]), "v": m[i].tolist()} for i in chosen]
+        return pd.DataFrame({"group": [pdf["group"].iloc[0]], "leaders": [rows]})
+
+    return run

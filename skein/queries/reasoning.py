@@ -137,7 +137,7 @@ def _(spark, d):
 
 @query("g_k_step_relax", f"with recursive {LK}, s as (select 1::bigint as node, 0.0::double as dist, 0 as hops union select dst, dist + weight, hops + 1 from s join lk on node = src where hops < 3) select node, round(min(dist), 6) as dist from s group by 1")
 def _(spark, d):
-    return G.shortest(links(spark, d), spark.createDataFrame([(1,)], "n long"), max_hops=3).select("node", r6("dist").alias("dist"))
+    return G.shortest(links(spark, d), spark.createDataFrame([(1,)], "n long"), steps=3).select("node", r6("dist").alias("dist"))
 
 
 @query("g_apsp_landmark", f"""with recursive {LK}, l as (select src as n from lk group by 1 order by count(*) desc, 1 limit 3), s as (select n as source, n as node, 0.0::double as dist, 0 as hops from l union select source, dst, dist + weight, hops + 1 from s join (select src, dst, weight from lk union all select dst, src, weight from lk) on node = src where hops < 10 and dist + weight <= 5),
