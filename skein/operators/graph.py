@@ -61,6 +61,19 @@ def closure(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     raise RuntimeError("closure did not settle")
 
 
+def lineage(parents: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """``(start, node, depth)``: each start and its ancestors over ``(src, dst)``, each by its least depth; a node is met once, so cycles end."""
+    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("depth")).distinct()
+    front = seen
+    for depth in range(1, max_rounds + 1):
+        step = front.join(parents.select("src", "dst"), F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        front = materialise(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")), "lineage")
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+    raise RuntimeError(f"lineage did not end in {max_rounds} rounds")
+
+
 def cycles(closed: DataFrame) -> DataFrame:
     """``(component, node)`` of cycles: nodes that reach each other, named by the least."""
     back = closed.select(F.col("src").alias("b"), F.col("dst").alias("a"))

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.graph import closure
 
 
+#: Groups of tags that contradict each other.
+PARADOXES = (
+    (("FamilyFriendly", "Children"), ("Rated-R", "Mature", "Adult")),
+    (("Educational",), ("Exploitation", "Gratuitous")),
+    (("Peaceful", "Calm"), ("Action", "Horror", "Thriller")),
+)
+
+
+def paradoxes(tags: Column) -> Column:
+    """Numbers, from 1, of the rules both sides of which some tag holds as a part."""
+    held = lambda words: F.exists(tags, lambda t: reduce(lambda x, y: x | y, [F.contains(t, F.lit(w)) for w in words]))
+    return F.array_compact(F.array(*[F.when(held(yes) & held(no), F.lit(i)) for i, (yes, no) in enumerate(PARADOXES, 1)]))
+
+
 def inherit_disjoint(tree: DataFrame, disjoint: DataFrame) -> DataFrame:
     """``(a, b)``, ``a < b``: classes that are disjoint because they or their ancestors are, stated pairs included."""
     up = closure(tree)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.operators import aggregates as A
-from skein.operators.vectors import norm
+from skein.operators.vectors import dims_of, norm
 from skein.plans.registry import query
 from skein.sources.tables import table
 from skein.sources.views import ED, EP, RA, causal_edges, episodes, ratings
@@ -85,12 +85,12 @@ def _(spark, d):
     return j.agg(r6(F.avg(F.when(F.col("to_id").isNotNull(), F.col("reward"))) - F.avg(F.when(F.col("to_id").isNull(), F.col("reward")))).alias("gain"))
 
 
-@query("agg_weighted_vector", f"""with {RA}, w as (select user_id, item_id, sum((rating - 1) / 4) as w from ra group by all), x as (select user_id, w, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as pos from w join embeddings on vec_id = item_id % 500),
+@query("agg_weighted_vector", f"""with {RA}, w as (select user_id, item_id, sum((rating - 1) / 4) as w from ra group by all), x as (select user_id, w, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as pos from w join embeddings on vec_id = item_id % (select count(*) from embeddings)),
     m as (select user_id, pos, sum(w * x) / sum(w) as x from x group by all) select user_id, round(sqrt(sum(x * x)), 6) as norm, round(sum(x * pos) / sqrt(sum(x * x)), 5) as moment from m group by 1""")
 def _(spark, d):
     w = ratings(spark, d).groupBy("user_id", "item_id").agg(F.sum((F.col("rating") - 1) / 4).alias("w"))
     e = table(spark, d, "embeddings")
-    v = A.mean_vector(w.join(e, F.col("item_id") % 500 == F.col("vec_id")), "user_id", "embedding", F.col("w")).withColumn("n", norm("vector"))
+    v = A.mean_vector(w.join(e, F.col("item_id") % e.count() == F.col("vec_id")), "user_id", "embedding", F.col("w"), dims_of(e)).withColumn("n", norm("vector"))
     moment = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     return v.select("user_id", r6("n").alias("norm"), F.round(moment / F.col("n"), 5).alias("moment"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.operators import graph as G
+from skein.operators import ontology as O
 from skein.operators.components import connected_components
 from skein.operators.provenance import merkle_roots
 from skein.operators.ranking import skyline
@@ -13,11 +14,17 @@ from skein.sources.tables import table
 from skein.sources.views import ED, EP, LK, causal_edges, episodes, links
 
 r6 = lambda c: F.round(c, 6)
-TREE = "tr as (select n as src, n // 2 as dst from range(2, 64) t(n))"
+#: A class hierarchy over the whole part table: each part lies under the part of half its number.
+TREE = "tr as (select p_partkey as src, p_partkey // 2 as dst from part where p_partkey >= 2)"
 
 
-def tree(spark):
-    return spark.range(2, 64).selectExpr("id as src", "id div 2 as dst")
+def tree(spark, d):
+    return table(spark, d, "part").where("p_partkey >= 2").selectExpr("p_partkey as src", "p_partkey div 2 as dst")
+
+
+def classes(spark, d):
+    """Every class as its own ancestor."""
+    return table(spark, d, "part").where("p_partkey >= 1").selectExpr("p_partkey as src", "p_partkey as dst")
 
 
 @query("g_causal_chain", f"""with recursive {ED}, w as (select from_id as start, to_id as node, uplift, confidence as low, [from_id, to_id] as path from ed
@@ -114,31 +121,40 @@ def _(spark, d):
 
 @query("o_closure", f"with recursive {TREE}, c as (select src, dst from tr union select c.src, tr.dst from c join tr on c.dst = tr.src) select src, dst from c except select src, dst from tr")
 def _(spark, d):
-    return G.closure(tree(spark)).join(tree(spark), ["src", "dst"], "left_anti")
+    e = tree(spark, d)
+    return G.closure(e).join(e, ["src", "dst"], "left_anti")
 
 
 @query("o_is_subgenre", f"with recursive {TREE}, c as (select src, dst from tr union select c.src, tr.dst from c join tr on c.dst = tr.src) select src from c where dst = 5")
 def _(spark, d):
-    return G.closure(tree(spark)).where("dst = 5").select("src")
+    return G.closure(tree(spark, d)).where("dst = 5").select("src")
 
 
-@query("o_cycles", "select * from (values (1::bigint, 1::bigint), (1, 2), (1, 3), (7, 7), (7, 8)) t(component, node)")
+@query("o_cycles", f"with recursive {LK}, c as (select src, dst from lk union select c.src, lk.dst from c join lk on c.dst = lk.src), m as (select a.src as node, least(min(a.dst), a.src) as component from c a join c b on a.src = b.dst and a.dst = b.src where a.src <> a.dst group by a.src) select component, node from m")
 def _(spark, d):
-    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (7, 8), (8, 7), (9, 1)], "src long, dst long")
-    return G.cycles(G.closure(e))
+    """Cycles of the part graph, whose blocks hold at most 97 nodes, so that its closure stays linear in the table."""
+    return G.cycles(G.closure(links(spark, d)))
 
 
-@query("o_disjoint_violation", f"with recursive {TREE}, c as (select src, dst from tr union select c.src, tr.dst from c join tr on c.dst = tr.src), u as (select * from c union select n, n from range(1, 64) t(n)), g as (select p_partkey as e, 1 + p_size % 63 as t from part union select p_partkey, 1 + p_partkey % 63 from part) select e from g join u on t = src where dst in (4, 5, 6) group by 1 having count(distinct dst) > 1")
+@query("o_disjoint_violation", f"with recursive {TREE}, c as (select src, dst from tr union select c.src, tr.dst from c join tr on c.dst = tr.src), u as (select * from c union select p_partkey, p_partkey from part where p_partkey >= 1), g as (select p_partkey as e, 1 + p_size % 63 as t from part union select p_partkey, 1 + p_partkey % 63 from part) select e from g join u on t = src where dst in (4, 5, 6) group by 1 having count(distinct dst) > 1")
 def _(spark, d):
-    up = G.closure(tree(spark)).unionByName(spark.range(1, 64).selectExpr("id as src", "id as dst")).where("dst in (4, 5, 6)")
+    up = G.closure(tree(spark, d)).unionByName(classes(spark, d)).where("dst in (4, 5, 6)")
     p = table(spark, d, "part")
     g = p.selectExpr("p_partkey as e", "cast(1 + p_size % 63 as bigint) as src").union(p.selectExpr("p_partkey", "1 + p_partkey % 63"))
     return g.join(up, "src").groupBy("e").agg(F.countDistinct("dst").alias("n")).where("n > 1").select("e")
 
 
-@query("o_paradox", "select doc_id from documents where contains(text, 'the') and contains(text, 'queque')")
+@query("o_paradox", """with t as (select doc_id, text from documents), g as (select * from (values (1, ['FamilyFriendly', 'Children'], ['Rated-R', 'Mature', 'Adult']), (2, ['Educational'], ['Exploitation', 'Gratuitous']), (3, ['Peaceful', 'Calm'], ['Action', 'Horror', 'Thriller'])) v(rule, yes, no)),
+    m as (select p_partkey, [case p_size % 6 when 0 then 'Children' when 1 then 'Mature' when 2 then 'Educational' when 3 then 'Peaceful' when 4 then 'Action' else 'Gratuitous' end, case p_partkey % 5 when 0 then 'Adult' when 1 then 'Calm' when 2 then 'Horror' when 3 then 'FamilyFriendly' else 'Exploitation' end, p_type] as tags from part)
+    select p_partkey, rule::bigint as rule from m, g where len(list_filter(tags, lambda x: len(list_filter(yes, lambda y: contains(x, y))) > 0)) > 0 and len(list_filter(tags, lambda x: len(list_filter(no, lambda y: contains(x, y))) > 0)) > 0""")
 def _(spark, d):
-    return table(spark, d, "documents").where(F.col("text").contains("the") & F.col("text").contains("queque")).select("doc_id")
+    """Media whose tags hold both sides of a rule."""
+    a = F.col("p_size") % 6
+    first = F.when(a == 0, "Children").when(a == 1, "Mature").when(a == 2, "Educational").when(a == 3, "Peaceful").when(a == 4, "Action").otherwise("Gratuitous")
+    b = F.col("p_partkey") % 5
+    other = F.when(b == 0, "Adult").when(b == 1, "Calm").when(b == 2, "Horror").when(b == 3, "FamilyFriendly").otherwise("Exploitation")
+    m = table(spark, d, "part").select("p_partkey", F.array(first, other, F.col("p_type")).alias("tags"))
+    return m.select("p_partkey", F.explode(O.paradoxes(F.col("tags"))).alias("rule")).select("p_partkey", F.col("rule").cast("long").alias("rule"))
 
 
 @query("o_val_refs", "select l_orderkey, l_linenumber::bigint as line from lineitem where l_partkey not in (select p_partkey from part where p_size > 5)")
@@ -169,17 +185,14 @@ def _(spark, d):
     return merkle_roots(c, "g", "pos", "h")
 
 
-@query("p_completeness", "select doc_id, round((contains(text, 'the')::int + contains(text, 'und')::int + contains(text, 'que')::int) / 3, 6) as completeness from documents")
+@query("p_completeness", "select l_orderkey, round(count(distinct case when l_quantity >= 25 then l_partkey % 5 end) / count(distinct l_partkey % 5), 6) as completeness from lineitem group by 1")
 def _(spark, d):
-    hit = sum((F.col("text").contains(w).cast("int") for w in ("the", "und", "que")), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", r6(hit / 3).alias("completeness"))
+    """Of an order's requirements (kinds of parts), the share that a line of 25 or more meets."""
+    kind = F.col("l_partkey") % 5
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(r6(F.countDistinct(F.when(F.col("l_quantity") >= 25, kind)) / F.countDistinct(kind)).alias("completeness"))
 
 
-@query("g_lineage", f"with recursive {TREE}, l as (select 63 as node, 0 as depth union all select dst, depth + 1 from l join tr on node = src) select node::bigint as node, depth::bigint as depth from l")
+@query("g_lineage", f"with recursive {TREE}, l as (select p_partkey as start, p_partkey as node, 0 as depth from part where p_partkey % 50 = 1 union all select start, dst, depth + 1 from l join tr on node = src) select start, node, depth::bigint as depth from l")
 def _(spark, d):
-    step = spark.createDataFrame([(63, 0)], "node long, depth long")
-    out = step
-    for _ in range(6):
-        step = step.join(tree(spark), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
-        out = out.union(step)
-    return out
+    """The line of sources of each record of the query set, up to its root; a round climbs a step for all of them."""
+    return G.lineage(tree(spark, d), table(spark, d, "part").where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("start")))

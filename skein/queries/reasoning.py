@@ -9,41 +9,44 @@ from skein.operators import graph as G
 from skein.operators import ontology as O
 from skein.operators.provenance import merkle_proofs
 from skein.plans.registry import query
-from skein.queries.graphs import TREE, tree
+from skein.queries.graphs import TREE, classes, tree
 from skein.sources.tables import table
 from skein.sources.views import ED, EP, LK, causal_edges, episodes, links
 
 r6 = lambda c: F.round(c, 6)
-UP = f"{TREE}, c as (select src, dst from tr union select c.src, tr.dst from c join tr on c.dst = tr.src), u as (select * from c union select n, n from range(1, 64) t(n))"
-DISJOINT = "d as (select * from (values (4, 5), (6, 7)) t(a, b))"
+UP = f"{TREE}, c as (select src, dst from tr union select c.src, tr.dst from c join tr on c.dst = tr.src), u as (select * from c union select p_partkey, p_partkey from part where p_partkey >= 1)"
+#: Siblings far down the hierarchy are stated to be disjoint, so what lies under them is a fixed number of classes.
+DISJOINT = "n as (select count(*) // 32 as n from part), d as (select p_partkey as a, p_partkey + 1 as b from part, n where p_partkey % 2 = 0 and p_partkey between n and n + 20)"
 
 
-def _disjoint(spark):
-    return spark.createDataFrame([(4, 5), (6, 7)], "a long, b long")
+def _disjoint(spark, d):
+    p = table(spark, d, "part")
+    n = p.count() // 32
+    return p.where((F.col("p_partkey") % 2 == 0) & F.col("p_partkey").between(n, n + 20)).selectExpr("p_partkey as a", "p_partkey + 1 as b")
 
 
 @query("o_disjoint_inherit", f"with recursive {UP}, {DISJOINT} select distinct least(x.src, y.src)::bigint as a, greatest(x.src, y.src)::bigint as b from d join u x on x.dst = a join u y on y.dst = b")
 def _(spark, d):
-    return O.inherit_disjoint(tree(spark), _disjoint(spark))
+    return O.inherit_disjoint(tree(spark, d), _disjoint(spark, d))
 
 
 @query("o_el_subsumption", f"with recursive {UP} select src::bigint as sub, dst::bigint as super, (src = dst)::bigint as reflexive from u")
 def _(spark, d):
-    own = spark.range(1, 64).selectExpr("id as src", "id as dst")
-    return G.closure(tree(spark)).unionByName(own).select(F.col("src").alias("sub"), F.col("dst").alias("super"), (F.col("src") == F.col("dst")).cast("long").alias("reflexive"))
+    return G.closure(tree(spark, d)).unionByName(classes(spark, d)).select(F.col("src").alias("sub"), F.col("dst").alias("super"), (F.col("src") == F.col("dst")).cast("long").alias("reflexive"))
 
 
-@query("o_val_disjoint", "select * from (values (9::bigint), (19::bigint)) t(node)")
+@query("o_val_disjoint", f"with recursive e as (select p_partkey as src, p_partkey // 2 as dst from part where p_partkey >= 2 union select p_partkey, p_partkey // 2 + 1 from part where p_partkey % 11 = 0 and p_partkey >= 3), c as (select src, dst from e union select c.src, e.dst from c join e on c.dst = e.src), u as (select * from c union select p_partkey, p_partkey from part), {DISJOINT} select distinct x.src as node from d join u x on x.dst = a join u y on y.dst = b and y.src = x.src")
 def _(spark, d):
-    e = spark.createDataFrame([(9, 4), (9, 5), (19, 9), (8, 4)], "src long, dst long")
-    return O.unsatisfiable(e, _disjoint(spark))
+    """Classes under both sides of a disjoint pair, where every eleventh class has a second parent."""
+    more = table(spark, d, "part").where("p_partkey % 11 = 0 and p_partkey >= 3").selectExpr("p_partkey as src", "p_partkey div 2 + 1 as dst")
+    return O.unsatisfiable(tree(spark, d).union(more), _disjoint(spark, d))
 
 
-@query("o_val_labels", "select p_partkey from part left join supplier on p_partkey = s_suppkey where s_name is null or trim(s_name) = ''")
+@query("o_val_labels", "select documents.doc_id from documents left join (select doc_id from labels where trim(coalesce(quality::varchar, '')) <> '') l on documents.doc_id = l.doc_id where l.doc_id is null")
 def _(spark, d):
     """Entities without a label that is more than blanks."""
-    named = table(spark, d, "supplier").where("trim(s_name) <> ''")
-    return table(spark, d, "part").join(named, F.col("p_partkey") == F.col("s_suppkey"), "left_anti").select("p_partkey")
+    named = table(spark, d, "labels").where("trim(coalesce(cast(quality as string), '')) <> ''").select("doc_id")
+    return table(spark, d, "documents").select("doc_id").join(named, "doc_id", "left_anti")
 
 
 @query("o_val_domain_range", """with t as (select 'o' || l_orderkey as s, case when l_returnflag = 'R' then 'returned' else 'sold' end as p, 's' || l_suppkey as o from lineitem),
@@ -122,12 +125,13 @@ def _(spark, d):
     return links(spark, d).where("weight <= 3").select("src", "dst", r6(1 / (1 + F.col("weight"))).alias("score"))
 
 
-@query("g_hierarchical", f"with recursive {UP} select x.src::bigint as a, y.src::bigint as b, max(x.dst)::bigint as ancestor from u x join u y on x.dst = y.dst and x.src < y.src group by all")
+@query("g_hierarchical", f"with recursive {UP} select x.src::bigint as a, y.src::bigint as b, max(x.dst)::bigint as ancestor from u x join u y on x.dst = y.dst and y.src = x.src + 1 group by all")
 def _(spark, d):
-    """The nearest common ancestor: in this tree the greatest number."""
-    up = G.closure(tree(spark)).unionByName(spark.range(1, 64).selectExpr("id as src", "id as dst"))
-    j = up.select(F.col("src").alias("a"), "dst").join(up.select(F.col("src").alias("b"), "dst"), "dst").where("a < b")
-    return j.groupBy("a", "b").agg(F.max("dst").alias("ancestor"))
+    """The nearest common ancestor of each class and the next: in this tree the greatest number."""
+    up = G.closure(tree(spark, d)).unionByName(classes(spark, d))
+    other = up.select(F.col("src").alias("b"), F.col("dst").alias("above"))
+    j = up.join(other, (F.col("dst") == F.col("above")) & (F.col("b") == F.col("src") + 1))
+    return j.groupBy(F.col("src").alias("a"), "b").agg(F.max("dst").alias("ancestor"))
 
 
 @query("g_bounded_dijkstra", f"with recursive {LK}, s as (select n::bigint as source, n::bigint as node, 0.0::double as dist, 0 as hops from (values (1), (2), (5)) t(n) union select source, dst, dist + weight, hops + 1 from s join lk on node = src where hops < 12 and dist + weight <= 6) select source, node, round(min(dist), 6) as dist from s group by all")

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.operators import attention as T
+from skein.operators import graph as G
 from skein.operators import indexes as I
 from skein.operators import ranking as R
 from skein.operators import vectors as V
+from skein.operators.aggregates import mean_vector
 from skein.plans.registry import query
 from skein.sources.tables import table
 from skein.sources.views import EP, RA, episodes, ratings
@@ -67,8 +69,7 @@ def _(spark, d):
 def _(spark, d):
     """Pairs of the stated query set and all rows over a threshold, counted per query."""
     e = _emb(spark, d)
-    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    near = asked.join(e, F.col("query") != F.col("vec_id")).select("query", V.cosine("q", "embedding").alias("score")).where("score >= 0.2")
+    near = R.similar_pairs(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 0.2)
     return near.groupBy("query").agg(F.count("*").alias("n"), r6(F.max("score")).alias("best"))
 
 
@@ -84,13 +85,14 @@ def _(spark, d):
 # ---------------------------------------------------------------- attention
 
 
-SESSION = f"""s as (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as i, embedding[1:4]::double[] as v from events join embeddings on vec_id = event_id % 500),
+SESSION = f"""s as (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as i, embedding[1:4]::double[] as v from events join embeddings on vec_id = event_id % (select count(*) from embeddings)),
     k as (select a.event_id as query, a.i as qi, b.i as ki, a.v as q, b.v as k from s a join s b on a.user_id = b.user_id and b.i between a.i - 8 and a.i)"""
 
 
 def _window(spark, d):
     """Each event with the vectors of itself and the 8 before it in its session."""
-    ev = table(spark, d, "events").withColumn("vec_id", F.col("event_id") % 500).join(_emb(spark, d), "vec_id").select("event_id", "user_id", "ts", F.slice("embedding", 1, 4).cast("array<double>").alias("v"))
+    e = _emb(spark, d)
+    ev = table(spark, d, "events").withColumn("vec_id", F.col("event_id") % e.count()).join(e, "vec_id").select("event_id", "user_id", "ts", F.slice("embedding", 1, 4).cast("array<double>").alias("v"))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     held = ev.select("event_id", "v", F.row_number().over(w).alias("i"), F.collect_list(F.struct("v")).over(w.rowsBetween(-8, 0)).alias("near"))
     return held.select(F.col("event_id").alias("query"), "i", F.col("v").alias("q"), F.posexplode("near").alias("pos", "n")).select("query", "i", "q", F.col("n.v").alias("k"), F.col("n.v").alias("x"), (F.greatest(F.col("i") - 8, F.lit(1)) + F.col("pos")).alias("ki"))
@@ -233,16 +235,20 @@ def _(spark, d):
     return top.groupBy("task").agg(r6(F.count("*") / 10).alias("share"), r6(F.avg("reward")).alias("reward"), r6(F.avg(F.col("success").cast("int"))).alias("success"), F.array_join(evidence, ",").alias("evidence"))
 
 
-@query("rec_transfer", f"with {EP} select id, 'transfer:' || task as task, round(reward, 6) as reward from ep join embeddings on vec_id = id % 500, (select embedding as e0 from embeddings where vec_id = 0) where list_cosine_similarity({DBL}, e0::double[]) >= 0.2")
+@query("rec_transfer", f"with {EP} select id, 'transfer:' || task as task, round(reward, 6) as reward from ep join embeddings on vec_id = id % (select count(*) from embeddings), (select embedding as e0 from embeddings where vec_id = 0) where list_cosine_similarity({DBL}, e0::double[]) >= 0.2")
 def _(spark, d):
     near = _emb(spark, d).where(V.cosine("embedding", _q0(spark, d)) >= 0.2).select("vec_id")
-    return episodes(spark, d).withColumn("vec_id", F.col("id") % 500).join(near, "vec_id").select("id", F.concat(F.lit("transfer:"), "task").alias("task"), r6("reward").alias("reward"))
+    return episodes(spark, d).withColumn("vec_id", F.col("id") % _emb(spark, d).count()).join(near, "vec_id").select("id", F.concat(F.lit("transfer:"), "task").alias("task"), r6("reward").alias("reward"))
 
 
 @query("vec_consolidate")
 def _(spark, d):
-    """Leaders of each label's vectors at similarity over 0.2, ten rounds."""
-    return V.consolidate(_emb(spark, d), "label", "vec_id", "embedding", 0.2, 10).groupBy("group", "leader").agg(F.count("*").alias("n"))
+    """Leaders of each label's vectors at similarity over 0.2, their members counted, and the unit centroid's first entry."""
+    e = _emb(spark, d)
+    m = V.consolidate(e, "label", "vec_id", "embedding", 0.2).join(e.select(F.col("vec_id").alias("id"), "embedding"), "id")
+    key = F.struct("group", "leader")
+    centre = mean_vector(m.withColumn("key", key), "key", "embedding", dims=V.dims_of(e)).select("key.*", V.unit("vector").alias("centroid"))
+    return m.groupBy("group", "leader").agg(F.count("*").alias("n")).join(centre, ["group", "leader"]).select("group", "leader", "n", r6(F.get("centroid", F.lit(0))).alias("first"))
 
 
 @query("rank_mmr_meta")
@@ -252,12 +258,12 @@ def _(spark, d):
     return R.mmr(_top(spark, d, 20).join(lab, "id").select("query", "id", "score", "v"), 5)
 
 
-@query("g_conceptual", "with e as (select distinct l_orderkey as src, l_suppkey as concept from lineitem) select a.src as a, count(*) as links from e a join e b on a.concept = b.concept and a.src <> b.src where a.src % 50 = 0 group by 1")
+@query("g_conceptual", "with e as (select distinct l_orderkey as src, l_suppkey as concept from lineitem), n as (select concept, count(*) - 1 as others from e group by 1) select src as a, concept, others from e join n using (concept) where src % 50 = 0 and others > 0")
 def _(spark, d):
-    """How many nodes share a concept with each node of the query set, per shared concept; counts per concept replace the pairs."""
+    """The concepts of each node of the query set and how many others each one leads to; a concept stands for its pairs."""
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("concept")).distinct()
     size = e.groupBy("concept").agg((F.count("*") - 1).alias("others"))
-    return e.where("src % 50 = 0").join(size, "concept").groupBy(F.col("src").alias("a")).agg(F.sum("others").alias("links")).where("links > 0")
+    return e.where("src % 50 = 0").join(size, "concept").where("others > 0").select(F.col("src").alias("a"), "concept", "others")
 
 
 @query("g_hyper_deps", "select event_type as stage, nxt as next, count(*) as n from (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) as nxt from events) where nxt is not null group by all")
@@ -276,11 +282,17 @@ def _(spark, d):
     return _top(spark, d, 20).join(pop, "id", "left").select("query", "id", r6(0.7 * F.col("score") + 0.3 * F.coalesce("n", F.lit(0)) / F.lit(top)).alias("score"))
 
 
-@query("rec_context", f"with {EP}, h as (select task, hour(ts)::bigint as hour, count(*) as n from ep group by all) select hour, task from (select *, row_number() over (partition by hour order by n desc, task) as i from h) where i <= 2")
+@query("rec_context", f"""with {PAIRS}, pop as (select l_partkey as id, count(*) as n from lineitem group by 1), h as (select query, t.id, 0.7 * score + 0.3 * coalesce(n, 0) / (select max(n) from pop) as score from t left join pop using (id) where rank <= 20),
+    c as (select query, id, score * case when p_size <= 20 then 1.1 else 1 end as score from h left join part on p_partkey = id) select query, id, round(score, 6) as score from (select *, row_number() over (partition by query order by score desc, id) as i from c) where i <= 10""")
 def _(spark, d):
-    """The two commonest tasks of each hour of the day."""
-    h = episodes(spark, d).groupBy("task", F.hour("ts").cast("long").alias("hour")).agg(F.count("*").alias("n"))
-    return h.withColumn("i", F.row_number().over(Window.partitionBy("hour").orderBy(F.desc("n"), "task"))).where("i <= 2").select("hour", "task")
+    """Hybrid recommendations weighted by the context: on a mobile device, small items gain a tenth; the ten best of each query."""
+    pop = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n"))
+    top = pop.agg(F.max("n")).first()[0] or 1
+    size = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    base = _top(spark, d, 20).drop("rank").join(pop, "id", "left").join(size, "id", "left")
+    fit = F.when(F.col("p_size") <= 20, 1.1).otherwise(1.0)
+    scored = base.withColumn("score", (0.7 * F.col("score") + 0.3 * F.coalesce("n", F.lit(0)) / F.lit(top)) * fit)
+    return G.top_per(scored, "query", 10, F.desc("score"), "id").select("query", "id", r6("score").alias("score"))
 
 
 @query("sup_ruvector", f"with {Q0} select vec_id from embeddings, q where vec_id <> 0 and label in (1, 2, 3) order by list_cosine_similarity({DBL}, q) desc, vec_id limit 5")

@@ -225,10 +225,11 @@ def _(spark, d):
     return j.agg(mean(F.col("hit").isNotNull()).alias("exposed"), mean(F.col("hit").isNull()).alias("others"))
 
 
-@query("agg_mean_vector", f"with {RA}, u as (select distinct user_id, item_id % 500 as v from ra), x as (select user_id, unnest({DBL}) as x, generate_subscripts(embedding, 1) as pos from u join embeddings on vec_id = v), m as (select user_id, pos, avg(x) as x from x group by all) select user_id, round(sqrt(sum(x * x)), 5) as norm from m group by 1")
+@query("agg_mean_vector", f"with {RA}, u as (select distinct user_id, item_id % (select count(*) from embeddings) as v from ra), x as (select user_id, unnest({DBL}) as x, generate_subscripts(embedding, 1) as pos from u join embeddings on vec_id = v), m as (select user_id, pos, avg(x) as x from x group by all) select user_id, round(sqrt(sum(x * x)), 5) as norm from m group by 1")
 def _(spark, d):
-    u = ratings(spark, d).select("user_id", (F.col("item_id") % 500).alias("vec_id")).distinct()
-    return mean_vector(u.join(table(spark, d, "embeddings"), "vec_id"), "user_id", "embedding").select("user_id", F.round(V.norm("vector"), 5).alias("norm"))
+    e = table(spark, d, "embeddings")
+    u = ratings(spark, d).select("user_id", (F.col("item_id") % e.count()).alias("vec_id")).distinct()
+    return mean_vector(u.join(e, "vec_id"), "user_id", "embedding", dims=V.dims_of(e)).select("user_id", F.round(V.norm("vector"), 5).alias("norm"))
 
 
 @query("agg_federated", f"""with a as (select label, vec_id, embedding, 0.5 + vec_id % 50 / 100 as q from embeddings), k as (select *, row_number() over (partition by label order by vec_id desc) as i from a where q >= 0.7), x as (select label, q, unnest({DBL}) as x, generate_subscripts(embedding, 1) as pos from k where i <= 100),

@@ -91,10 +91,10 @@ def _(spark, d):
     return Q.q_learning(steps)
 
 
-@query("math_bandit_update", f"""with {EP}, o as (select task, list(reward order by (ts, id)) as rs from ep group by 1)
-    select task, len(rs) as n, round(list_avg(rs), 6) as mean from o""")
+@query("math_bandit_update", f"""with {EP}, o as (select task, reward as r, row_number() over w as i, coalesce(avg(reward) over (partition by task order by ts, id rows between unbounded preceding and 1 preceding), 0) as m, count(*) over (partition by task) as n from ep window w as (partition by task order by ts, id))
+    select task, max(n) as n, round(avg(r), 6) as mean, round(sum(0.1 * power(0.9, n - i) * abs(r - m)) + power(0.9, max(n)), 6) as spread from o group by 1""")
 def _(spark, d):
-    return Q.bandit(episodes(spark, d), "task", ["ts", "id"], "reward").select("task", "n", r6("mean").alias("mean"))
+    return Q.bandit(episodes(spark, d), "task", ["ts", "id"], "reward").select("task", "n", r6("mean").alias("mean"), r6("spread").alias("spread"))
 
 
 @query("p_hitting_set")
@@ -161,10 +161,11 @@ def _(spark, d):
     return g.select("item", F.array_join(F.transform("x", lambda v: v["tag"].cast("string")), ",").alias("tags"))
 
 
-@query("sup_herding", f"with {EP} select ts::date as day, greatest(count(*) filter (task = 'purchase'), count(*) filter (task = 'error')) / (count(*) + 1) > 0.25 as herding from ep group by 1")
+@query("sup_herding", f"with {EP} select ts::date as day, greatest(count(*) filter (task = 'purchase'), count(*) filter (task = 'error')) / (count(*) filter (task in ('purchase', 'error')) + 1) > 0.6 as herding from ep group by 1")
 def _(spark, d):
-    top = F.greatest(F.count_if(F.col("task") == "purchase"), F.count_if(F.col("task") == "error"))
-    return episodes(spark, d).groupBy(F.to_date("ts").alias("day")).agg((top / (F.count("*") + 1) > 0.25).alias("herding"))
+    """Days on which more than 0.6 of the orders go one way; purchases buy, errors sell, and one is added to their number."""
+    buy, sell = F.count_if(F.col("task") == "purchase"), F.count_if(F.col("task") == "error")
+    return episodes(spark, d).groupBy(F.to_date("ts").alias("day")).agg((F.greatest(buy, sell) / (buy + sell + 1) > 0.6).alias("herding"))
 
 
 @query("sup_degradation", f"with {EP} select id, latency / first_value(latency) over (partition by session_id order by ts, id) > 1.2 as degraded from ep where latency > 0")
@@ -241,10 +242,10 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", r6(s).alias("score"))
 
 
-@query("o_equivalence", "select * from (values (1::bigint, 3::bigint), (1, 4), (2, 1), (2, 4), (3, 1), (3, 2), (4, 2)) t(a, b)")
+@query("o_equivalence", "with e as (select c_custkey as a, c_custkey + 1 as b from customer where c_custkey % 4 <> 3), s as (select a, b from e union select b, a from e), t as (select x.a, y.b from s x join s y on x.b = y.a where x.a <> y.b union select * from s) select * from t except select * from e")
 def _(spark, d):
-    """Symmetric closure and one transitive step, less what was asserted."""
-    e = spark.createDataFrame([(1, 2), (2, 3), (4, 1)], "a long, b long")
+    """Symmetric closure and one transitive step, less what was asserted: customers in runs of four."""
+    e = table(spark, d, "customer").where("c_custkey % 4 <> 3").selectExpr("c_custkey as a", "c_custkey + 1 as b")
     both = e.union(e.select("b", "a"))
     step = both.join(both.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").where("a <> c").select("a", F.col("c").alias("b"))
     return both.union(step).distinct().join(e, ["a", "b"], "left_anti")
