@@ -52,11 +52,12 @@ def sound_markers(x: Column) -> Column:
     )
 
 
-def narrative_arc(start: Column, peak: Column, end: Column, tension: Column) -> Column:
+def narrative_arc(start: Column, peak: Column, end: Column, points: Column, deviation: Column) -> Column:
+    """Shape of a story from its first, greatest and last tension, the number of its points and their standard deviation."""
     return (
         F.when((peak > start) & (end - start > 0.3), "HeroJourney")
         .when(start - end > 0.3, "Tragedy")
-        .when((F.size(tension) > 3) & (spread(tension) > 0.3), "ComplexNarrative")
+        .when((points > 3) & (deviation > 0.3), "ComplexNarrative")
         .when((F.abs(end - start) < 0.2) & (peak - start < 0.3), "SliceOfLife")
         .otherwise("Standard")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.operators.components import connected_components
-from skein.operators.vectors import knn
+from skein.operators.vectors import knn, l2
 from skein.plans.scratch import materialise
 
 
@@ -197,6 +197,25 @@ def nearest_pivots(frontier: DataFrame, pivots: DataFrame, parts: int) -> DataFr
     return near.select("node", (F.col("g.place") % parts).alias("part"))
 
 
+def greedy_walks(edges: DataFrame, nodes: DataFrame, queries: DataFrame, start, most: int = 50) -> DataFrame:
+    """``(query, node, hops)``: where each walk from ``start`` ends that hops to the neighbour nearest to its query while that is nearer.
+
+    A round moves all walks by one join over the edges; distances fall, so no node is met twice.
+    """
+    v = nodes.select(F.col("node").alias("at"), F.col("v").alias("av"))
+    walks = queries.select("query", "q", F.lit(start).cast("long").alias("node")).join(v, F.col("node") == F.col("at")).select("query", "q", "node", l2("q", "av").alias("gap"), F.lit(0).alias("hops"), F.lit(True).alias("moves"))
+    walks = materialise(walks, "walks")
+    for hop in range(1, most + 1):
+        near = walks.where("moves").join(edges.select("src", "dst"), F.col("node") == F.col("src")).join(v, F.col("dst") == F.col("at")).select(F.col("query").alias("of"), "dst", "gap", l2("q", "av").alias("new")).where("new < gap")
+        best = near.groupBy("of").agg(F.min(F.struct("new", "dst")).alias("b"))
+        j = walks.join(best, F.col("query") == F.col("of"), "left")
+        moved = F.col("b").isNotNull()
+        walks = materialise(j.select("query", "q", F.when(moved, F.col("b.dst")).otherwise(F.col("node")).alias("node"), F.when(moved, F.col("b.new")).otherwise(F.col("gap")).alias("gap"), F.when(moved, F.lit(hop)).otherwise(F.col("hops")).alias("hops"), moved.alias("moves")), "walks")
+        if walks.where("moves").isEmpty():
+            break
+    return walks.select("query", "node", "hops")
+
+
 class GraphStore:
     """Nodes ``(node, v, ...)`` and edges ``(src, dst, weight)`` behind one interface."""
 

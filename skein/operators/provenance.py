@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from skein.plans.ordered import running
 from skein.plans.scratch import materialise
 
 
@@ -14,8 +14,7 @@ def merkle_roots(chunks: DataFrame, key: str, pos: str, hash_col: str) -> DataFr
 
     Rounds are the log of the longest group; each is one grouped aggregation of pairs.
     """
-    w = Window.partitionBy(key).orderBy(pos)
-    level = chunks.select(key, (F.row_number().over(w) - 1).cast("long").alias("i"), F.col(hash_col).alias("h"))
+    level = running(chunks.select(key, pos, F.col(hash_col).alias("h")), [key], [F.col(pos)], "n").select(key, (F.col("n") - 1).alias("i"), "h")
     most = chunks.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     while most > 1:
         pair = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), "")
@@ -29,8 +28,7 @@ def merkle_proofs(chunks: DataFrame, key: str, pos: str, hash_col: str) -> DataF
 
     Levels where a node has no sibling give no row. Each round is one grouped aggregation of pairs and one join of chunks to it.
     """
-    w = Window.partitionBy(key).orderBy(pos)
-    level = chunks.select(key, F.col(pos).alias("pos"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.col(hash_col).alias("h"))
+    level = running(chunks.select(key, F.col(pos).alias("pos"), F.col(hash_col).alias("h")), [key], [F.col("pos")], "n").select(key, "pos", (F.col("n") - 1).alias("i"), "h")
     most = level.agg(F.max("i")).first()[0] or 0
     place, nodes, out, n = level.select(key, "pos", "i"), level.select(key, "i", "h"), None, 0
     while most > 0:

@@ -105,9 +105,8 @@ def _(spark, d):
 @query("agg_genome_map", "select l_suppkey as item, string_agg(l_partkey::varchar || '=' || s::varchar, ',' order by l_partkey) as tags from (select l_suppkey, l_partkey, max(l_quantity)::bigint as s from lineitem group by all) group by 1")
 def _(spark, d):
     m = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").cast("long").alias("s"))
-    g = m.groupBy(F.col("l_suppkey").alias("item")).agg(F.map_from_entries(F.collect_list(F.struct("l_partkey", "s"))).alias("m"))
-    parts = F.transform(F.array_sort(F.map_keys("m")), lambda k: F.concat_ws("=", k.cast("string"), F.element_at("m", k).cast("string")))
-    return g.select("item", F.array_join(parts, ",").alias("tags"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("l_partkey", "s"))), lambda e: F.concat_ws("=", e["l_partkey"].cast("string"), e["s"].cast("string")))
+    return m.groupBy(F.col("l_suppkey").alias("item")).agg(F.array_join(parts, ",").alias("tags"))
 
 
 @query("agg_dataset_stats", "select count(*) as n, count(distinct user_id) as users, min(ts) as first, max(ts) as last from events")

@@ -91,8 +91,12 @@ def _(spark, d):
     return connected_components(links(spark, d))
 
 
-@query("g_label_propagation")
+_VOTES = "".join(f", l{i + 1} as (select node, arg_max(label, (n, -label)) as label from (select b.src as node, l.label, count(*) as n from b join l{i} l on b.dst = l.node group by all) group by 1)" for i in range(5))
+
+
+@query("g_label_propagation", f"with {LK}, b as (select src, dst from lk union select dst, src from lk), l0 as (select distinct src as node, src as label from b){_VOTES} select * from l5")
 def _(spark, d):
+    """Labels after five synchronous rounds; five is the definition, settled or not."""
     return G.label_propagation(links(spark, d))
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.operators.pairs import pairs_within
 from skein.plans.registry import query
+from skein.plans.scratch import scratch_path
+from skein.sources.sync import Cursor
 from skein.sources.tables import table
 from skein.sources.views import ED, EP, RA, causal_edges, episodes, ratings
 
@@ -120,9 +123,7 @@ def _(spark, d):
 
 @query("join_collab", f"with {RA}, u as (select distinct user_id, item_id from ra) select a.item_id as a, b.item_id as b, count(*) as n from u a join u b on a.user_id = b.user_id and a.item_id < b.item_id group by all")
 def _(spark, d):
-    u = ratings(spark, d).select("user_id", "item_id").distinct()
-    j = u.select("user_id", F.col("item_id").alias("a")).join(u.select("user_id", F.col("item_id").alias("b")), "user_id").where("a < b")
-    return j.groupBy("a", "b").agg(F.count("*").alias("n"))
+    return pairs_within(ratings(spark, d), "user_id", "item_id").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @query("join_store_reconcile", "select coalesce(a, b) as k, case when b is null then 'missing_b' when a is null then 'missing_a' when x = y then 'match' else 'mismatch' end as state from (select c_custkey as a, c_nationkey as x from customer where c_custkey % 3 > 0) full join (select c_custkey as b, case when c_custkey % 5 = 0 then -1 else c_nationkey end as y from customer where c_custkey % 4 > 0) on a = b")
@@ -157,4 +158,7 @@ def _(spark, d):
 
 @query("src_sync", "select event_id from events where ts > timestamp '2024-01-10' order by ts desc, event_id desc limit 100")
 def _(spark, d):
-    return table(spark, d, "events").where("ts > timestamp_ntz '2024-01-10'").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id")
+    """The newest hundred rows after the stored mark of an earlier pull."""
+    e, cursor = table(spark, d, "events"), Cursor(spark, scratch_path(spark, "cursor"))
+    cursor.pull(e.where("ts <= timestamp_ntz '2024-01-10'"), "ts", "event_id")
+    return cursor.pull(e, "ts", "event_id").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id")

@@ -48,8 +48,8 @@ def _(spark, d):
     select session_id, case when e > s and p > s and e - s > 0.3 then 'HeroJourney' when e < s and s - e > 0.3 then 'Tragedy' when n > 3 and v > 0.3 then 'ComplexNarrative' when abs(e - s) < 0.2 and p - s < 0.3 then 'SliceOfLife' else 'Standard' end as arc from a""")
 def _(spark, d):
     at = F.struct("ts", "id")
-    a = episodes(spark, d).groupBy("session_id").agg(F.min_by("reward", at).alias("s"), F.max("reward").alias("p"), F.max_by("reward", at).alias("e"), F.collect_list("reward").alias("t"))
-    return a.select("session_id", M.narrative_arc(F.col("s"), F.col("p"), F.col("e"), F.col("t")).alias("arc"))
+    a = episodes(spark, d).groupBy("session_id").agg(F.min_by("reward", at).alias("s"), F.max("reward").alias("p"), F.max_by("reward", at).alias("e"), F.count("reward").alias("n"), F.stddev_pop("reward").alias("v"))
+    return a.select("session_id", M.narrative_arc(F.col("s"), F.col("p"), F.col("e"), F.col("n"), F.col("v")).alias("arc"))
 
 
 @query("intensity_fit", """select l_orderkey, l_linenumber::bigint as line, round(case when l_returnflag = 'R' and l_quantity * 20 > 100 then 0.3 when l_returnflag = 'A' and l_quantity * 20 > 500 then 0.6 else 1 end
@@ -121,22 +121,31 @@ def _(spark, d):
     return parts(spark, d).select("p_partkey", F.explode(F.array_distinct(found)).alias("genre"))
 
 
-@query("hash_ring")
+@query("hash_ring", """with r as (select min(id % 8) as shard, spot from (select id, ('0x' || substr(md5('node' || id), 1, 4))::bigint as spot from range(512) t(id)) group by spot), c as (select c_custkey, ('0x' || substr(md5('key' || c_custkey), 1, 4))::bigint as place from customer)
+    select c_custkey, coalesce(r.shard, (select arg_min(shard, spot) from r))::bigint as shard from c asof left join r on c.place <= r.spot""")
 def _(spark, d):
-    """Shard of each customer: the first of 8 x 64 virtual nodes at or after the key's place on a ring of 65,536 places, found by a sorted lookup."""
-    ring = spark.range(8 * 64).select((F.col("id") % 8).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(65536)).alias("at")).groupBy("at").agg(F.min("shard").alias("shard"))
-    points = F.array_sort(F.collect_list(F.struct("at", "shard")))
-    held = F.broadcast(ring.agg(points.alias("ring")))
-    place = F.pmod(F.xxhash64("c_custkey"), F.lit(65536))
-    after = F.filter("ring", lambda p: p["at"] >= place)
-    return table(spark, d, "customer").crossJoin(held).select("c_custkey", F.coalesce(F.try_element_at(after, F.lit(1)), F.element_at("ring", 1))["shard"].alias("shard"))
+    """Shard of each customer: the first of 8 x 64 virtual nodes at or after the key's place on a ring of 65,536 places.
 
+    The ring is cut into 256 slots; each holds its own nodes and the next one, so a key looks at a few.
+    """
+    spot = lambda tag, c: F.conv(F.substring(F.md5(F.concat(F.lit(tag), c.cast("string")).cast("binary")), 1, 4), 16, 10).cast("long")
+    ring = spark.range(512).select((F.col("id") % 8).alias("shard"), spot("node", F.col("id")).alias("at")).groupBy("at").agg(F.min("shard").alias("shard"))
+    every = spark.range(256).select(F.col("id").alias("slot")).join(ring.unionByName(ring.select((F.col("at") + 65536).alias("at"), "shard")), F.col("at") >= F.col("slot") * 256)
+    held = F.array_sort(F.collect_list(F.struct("at", "shard")))
+    slots = every.groupBy("slot").agg(held.alias("held"), F.count_if(F.col("at") < (F.col("slot") + 1) * 256).alias("own")).select("slot", F.slice("held", F.lit(1), F.col("own").cast("int") + 1).alias("near"))
+    keys = table(spark, d, "customer").select("c_custkey", spot("key", F.col("c_custkey")).alias("place"))
+    after = F.filter("near", lambda p: p["at"] >= F.col("place"))
+    return keys.join(F.broadcast(slots), F.col("slot") == F.floor(F.col("place") / 256)).select("c_custkey", after[0]["shard"].alias("shard"))
 
-@query("math_thompson")
+
+@query("math_thompson", f"""with {EP}, a as (select task, avg(reward) as m, var_pop(reward) as v, count(*) as n from ep group by 1), u as (select *, (('0x' || substr(md5('a' || task), 1, 8))::bigint + 1) / 4294967297 as x, ('0x' || substr(md5('b' || task), 1, 8))::bigint / 4294967296 as y from a),
+    r as (select task, round(m + sqrt(v / n) * sqrt(-2 * ln(x)) * cos(2 * pi() * y), 6) as draw from u) select * from r order by draw desc, task limit 1""")
 def _(spark, d):
-    """A seeded normal draw per arm (task) from its mean reward; the greatest draw is chosen."""
-    arms = episodes(spark, d).groupBy("task").agg(F.avg("reward").alias("m"), F.var_pop("reward").alias("v"), F.count("*").alias("n")).orderBy("task").coalesce(1)
-    return arms.select("task", r6(F.col("m") + F.sqrt(F.col("v") / F.col("n")) * F.randn(7)).alias("draw")).orderBy(F.desc("draw"), "task").limit(1)
+    """A normal draw per arm (task) about its mean reward, from hashes of its name; the greatest draw is chosen."""
+    arms = episodes(spark, d).groupBy("task").agg(F.avg("reward").alias("m"), F.var_pop("reward").alias("v"), F.count("*").alias("n"))
+    part = lambda tag: F.conv(F.substring(F.md5(F.concat(F.lit(tag), "task").cast("binary")), 1, 8), 16, 10).cast("double")
+    normal = F.sqrt(-2 * F.log((part("a") + 1) / 4294967297.0)) * F.cos(2 * F.pi() * part("b") / 4294967296.0)
+    return arms.select("task", r6(F.col("m") + F.sqrt(F.col("v") / F.col("n")) * normal).alias("draw")).orderBy(F.desc("draw"), "task").limit(1)
 
 
 @query("src_synth", "select p_partkey, ('0x' || substr(md5('profile_' || p_partkey), 1, 8))::bigint % 5 as archetype, 18 + ('0x' || substr(md5('age_' || p_partkey), 1, 8))::bigint % 60 as age from part")

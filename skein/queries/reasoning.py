@@ -7,9 +7,10 @@ from pyspark.sql.window import Window
 
 from skein.operators import graph as G
 from skein.operators import ontology as O
+from skein.operators.pairs import pairs_within
 from skein.operators.provenance import merkle_proofs
 from skein.plans.registry import query
-from skein.queries.graphs import TREE, classes, tree
+from skein.queries.graphs import MERKLE, TREE, classes, tree
 from skein.sources.tables import table
 from skein.sources.views import ED, EP, LK, causal_edges, episodes, links
 
@@ -174,9 +175,7 @@ def _(spark, d):
 @query("g_hyper_collab", "with e as (select distinct l_orderkey as h, l_suppkey as v from lineitem) select a.v as a, b.v as b, count(*) as n from e a join e b on a.h = b.h and a.v < b.v group by all having count(*) >= 3")
 def _(spark, d):
     """Members that share at least three hyperedges; an order has few lines, so pairs stay linear in the orders."""
-    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("h"), F.col("l_suppkey").alias("v")).distinct()
-    j = e.select("h", F.col("v").alias("a")).join(e.select("h", F.col("v").alias("b")), "h").where("a < b")
-    return j.groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 3")
+    return pairs_within(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 3")
 
 
 @query("g_hyper_agg", "select size, count(*) as edges from (select l_orderkey, count(distinct l_suppkey) as size from lineitem group by 1) group by 1")
@@ -209,7 +208,10 @@ def _(spark, d):
 # ---------------------------------------------------------------- certificates
 
 
-@query("p_merkle_proof")
+_PROOFS = " union all ".join(f'select b.g::bigint as g, b.pos, {k} as level, (b.i // {2**k}) % 2 = 1 as "left", l.h as sibling from b join l{k} l on l.g = b.g and l.i = xor((b.i // {2**k})::bigint, 1::bigint)' for k in range(14))
+
+
+@query("p_merkle_proof", f"with {MERKLE}, b as (select c_nationkey as g, c_custkey as pos, row_number() over (partition by c_nationkey order by c_custkey) - 1 as i from customer) {_PROOFS}")
 def _(spark, d):
     """Sibling hashes of every chunk, level by level."""
     c = table(spark, d, "customer").selectExpr("cast(c_nationkey as bigint) as g", "c_custkey as pos", "sha2(cast(c_name as binary), 256) as h")
@@ -231,3 +233,14 @@ def _(spark, d):
 def _(spark, d):
     a = table(spark, d, "lineitem").selectExpr("concat('o', l_orderkey) as src", "concat('p', l_partkey) as dst", "'chunk' as kind")
     return a.union(table(spark, d, "orders").selectExpr("concat('o', o_orderkey)", "concat('c', o_custkey)", "'query'")).distinct()
+
+
+@query("sup_pivots", f"""with recursive {UP}, z as (select dst as node, count(*) as size from u group by 1), h as (select src as node, count(*) - 1 as depth from u group by 1), p as (select depth as pd, row_number() over (order by node) - 1 as place from z join h using (node) where size >= (select count(*) // 16 from part)),
+    g as (select node, arg_min(place, (abs(depth - pd), place)) as place from h, p group by 1) select node, (place % 4)::bigint as part from g""")
+def _(spark, d):
+    """Classes with a sixteenth of all under them are pivots, 31 at most in a binary tree; each class goes to the pivot of nearest depth."""
+    up = G.closure(tree(spark, d)).unionByName(classes(spark, d))
+    size, depth = up.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("size")), up.groupBy(F.col("src").alias("node")).agg((F.count("*") - 1).alias("dist"))
+    least = table(spark, d, "part").count() // 16
+    pivots = size.where(F.col("size") >= least).join(depth, "node").withColumn("place", F.row_number().over(Window.orderBy("node")) - 1)
+    return G.nearest_pivots(depth, pivots, 4).select("node", F.col("part").cast("long").alias("part"))

@@ -306,3 +306,16 @@ def _(spark, d):
     """Hash, candidates, exact scores, top-k in one plan."""
     e = _emb(spark, d)
     return I.lsh_search(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 64, 10)
+
+
+@query("sup_greedy_nav", f"""with recursive {RING}, q as (select vec_id as query, {DBL} as q from embeddings where vec_id % 50 = 0), g as (select query, vec_id as node, list_distance({DBL}, q) as gap from embeddings, q),
+    n as (select a.query, a.node, arg_min(b.node, (b.gap, b.node)) as next from g a join e on src = a.node join g b on b.query = a.query and b.node = dst where b.gap < a.gap group by all),
+    w as (select query, 7::bigint as node, 0 as hops from q union all select w.query, next, hops + 1 from w join n on n.query = w.query and n.node = w.node where hops < 50)
+    select query, arg_max(node, hops)::bigint as node, max(hops)::bigint as hops from w group by 1""")
+def _(spark, d):
+    """Walks of the whole query set from one node, each hop to the neighbour nearest to the query, at most 50 hops."""
+    e = _emb(spark, d)
+    n = e.count()
+    edges = e.select(F.col("vec_id").alias("src"), F.explode(F.array(F.lit(1), F.lit(7), F.lit(31))).alias("s")).select("src", ((F.col("src") + F.col("s")) % n).alias("dst"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return G.greedy_walks(edges, e.select(F.col("vec_id").alias("node"), F.col("embedding").alias("v")), asked, 7).select("query", "node", F.col("hops").cast("long").alias("hops"))

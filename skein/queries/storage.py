@@ -9,9 +9,11 @@ from skein.operators import indexes as I
 from skein.operators import ranking as R
 from skein.operators import vectors as V
 from skein.operators.aggregates import mean_vector
+from skein.plans.ordered import running
 from skein.plans.registry import query
 from skein.plans.scratch import scratch_path
 from skein.sources import formats
+from skein.sources.sync import Cursor
 from skein.sources.tables import table
 from skein.sources.views import ED, EP, LK, RA, causal_edges, episodes, links, ratings
 
@@ -24,10 +26,11 @@ DBL = "embedding::double[]"
 
 @query("src_npy", "select vec_id, round(list_sum(embedding::double[]), 5) as total from embeddings")
 def _(spark, d):
-    """A dense matrix with its ids: rows keyed by id in Parquet, never by position."""
+    """Dense matrices in the .npy layout with their ids beside them, a shard per task, read back by id and never by place."""
     path = scratch_path(spark, "matrix")
-    table(spark, d, "embeddings").select("vec_id", "embedding").write.parquet(path)
-    return spark.read.parquet(path).select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+    formats.npy_shards(table(spark, d, "embeddings"), "vec_id", "embedding").write.parquet(path)
+    rows = formats.npy_rows(spark.read.parquet(path))
+    return rows.select(F.col("id").alias("vec_id"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
 @query("src_csv_chunked", "select l_orderkey, l_linenumber::bigint as line, l_quantity from lineitem")
@@ -43,10 +46,20 @@ def _(spark, d):
     return table(spark, d, "orders").where("o_orderstatus = 'F' and o_totalprice > 1000").select("o_orderkey", "o_totalprice")
 
 
-@query("src_graph", "select r_name as parent, n_name as child from nation join region on n_regionkey = r_regionkey")
+@query("src_graph", """with e as (select 'p' || p_partkey as src, 'GENRE' as kind, p_type as dst from part union all select 'p' || p_partkey, 'BRAND', p_brand from part union all select 'p' || p_partkey, 'TAG', unnest(string_split(p_name, ' ')) from part
+    union all select 's' || s_suppkey, 'CULTURE', n_name from supplier join nation on s_nationkey = n_nationkey union all select distinct 'p' || l_partkey, 'RELATION', 's' || l_suppkey from lineitem) select distinct * from e""")
 def _(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"))
+    """The scans a graph store answers by label: genres, brands, tags and cultures of nodes and relations between them, as one edge table."""
+    p, s = table(spark, d, "part"), table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    part = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    edge = lambda df, src, kind, dst: df.select(src.alias("src"), F.lit(kind).alias("kind"), dst.alias("dst"))
+    found = [edge(p, part, "GENRE", F.col("p_type")), edge(p, part, "BRAND", F.col("p_brand")), edge(p, part, "TAG", F.explode(F.split("p_name", " ")))]
+    found.append(edge(s, F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), "CULTURE", F.col("n_name")))
+    found.append(edge(table(spark, d, "lineitem"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")), "RELATION", F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 @query("sink_jsonl", f"with {EP} select id, task, round(reward, 6) as reward from ep")
@@ -113,7 +126,10 @@ def _(spark, d):
 
 @query("st_incremental_sync", "select event_id from events where ts > timestamp '2024-01-15'")
 def _(spark, d):
-    return table(spark, d, "events").where("ts > timestamp_ntz '2024-01-15'").select("event_id")
+    """What a second pull brings after a first one of the rows up to a day: the mark is stored between them."""
+    e, cursor = table(spark, d, "events"), Cursor(spark, scratch_path(spark, "cursor"))
+    cursor.pull(e.where("ts <= timestamp_ntz '2024-01-15'"), "ts", "event_id")
+    return cursor.pull(e, "ts", "event_id").select("event_id")
 
 
 @query("st_genre_pref", """with w as (select user_id, event_type, sum(case event_type when 'purchase' then 0.5 when 'signup' then 0.3 when 'click' then 0.1 when 'view' then 0.1 else -0.2 end) as s from events group by all)
@@ -200,7 +216,8 @@ def _(spark, d):
 
 @query("win_rank_assign", f"with {EP} select id, row_number() over (partition by task order by reward desc, id)::bigint as rank from ep")
 def _(spark, d):
-    return episodes(spark, d).select("id", F.row_number().over(Window.partitionBy("task").orderBy(F.desc("reward"), "id")).cast("long").alias("rank"))
+    """Ranks come from ranges of a task's rows, so a task with most of them is no single partition."""
+    return running(episodes(spark, d).select("id", "task", "reward"), ["task"], [F.desc("reward"), F.asc("id")], "rank").select("id", "rank")
 
 
 @query("win_event_order", f"with {EP} select session_id, id, row_number() over (partition by session_id order by ts, id)::bigint as step from ep")
@@ -297,9 +314,16 @@ def _(spark, d):
 
 @query("sup_audit_query", "select event_id, case event_type when 'error' then 'critical' when 'purchase' then 'high' else 'low' end as severity from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' and event_type in ('purchase', 'click', 'error')")
 def _(spark, d):
+    """A log of JSON lines, written and read back, filtered by date, type and severity."""
+    path = scratch_path(spark, "audit")
     t = F.col("event_type")
-    e = table(spark, d, "events").where("ts >= timestamp_ntz '2024-01-05' and ts < timestamp_ntz '2024-01-20' and event_type in ('purchase', 'click', 'error')")
-    return e.select("event_id", F.when(t == "error", "critical").when(t == "purchase", "high").otherwise("low").alias("severity"))
+    severity = F.when(t == "error", "critical").when(t == "purchase", "high").otherwise("low")
+    entry = F.struct(F.col("event_id").alias("id"), F.col("ts").cast("string").alias("timestamp"), t.alias("type"), F.col("user_id").alias("userId"))
+    table(spark, d, "events").select(entry.alias("event"), severity.alias("severity")).write.json(path)
+    log = formats.read_jsonl(spark, path, "event struct<id:long,timestamp:string,type:string,userId:long>, severity string")
+    at = F.col("event.timestamp").cast("timestamp_ntz")
+    kept = log.where((at >= F.lit("2024-01-05").cast("timestamp_ntz")) & (at < F.lit("2024-01-20").cast("timestamp_ntz")) & F.col("event.type").isin("purchase", "click", "error"))
+    return kept.select(F.col("event.id").alias("event_id"), "severity")
 
 
 @query("sup_gpu_constraints", "select 'quantity' as rule, count(*) as n from lineitem where l_quantity <= 0 union all select 'order', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders) union all select 'price', count(*) from part where p_retailprice < 1000")
@@ -316,12 +340,6 @@ def _(spark, d):
     return docs.union(table(spark, d, "embeddings").agg(F.lit("embeddings").alias("item"), (F.min(F.size("embedding")) == F.max(F.size("embedding"))).cast("long").alias("passed")))
 
 
-@query("sup_pivots", f"with {LK}, t as (select src, count(*) as k from lk group by 1 having count(*) >= 2) select src as pivot, src % 4 as part from t")
-def _(spark, d):
-    t = links(spark, d).groupBy(F.col("src").alias("pivot")).agg(F.count("*").alias("k")).where("k >= 2")
-    return t.select("pivot", (F.col("pivot") % 4).alias("part"))
-
-
 @query("sup_recommend_action", f"with {EP}, p as (select sha256(session_id::varchar) as state, arg_max(task, (reward, id)) as action from ep group by 1) select session_id, action from (select distinct session_id from ep) join p on state = sha256(session_id::varchar)")
 def _(spark, d):
     e = episodes(spark, d).withColumn("state", F.sha2(F.col("session_id").cast("string").cast("binary"), 256))
@@ -329,27 +347,11 @@ def _(spark, d):
     return e.select("session_id", "state").distinct().join(policy, "state").select("session_id", "action")
 
 
-@query("sup_greedy_nav")
-def _(spark, d):
-    """A walk over links to the neighbour nearest to a target number, at most 50 hops; each hop reads one node's few links."""
-    e, node, target, path = links(spark, d), 1, 60, [1]
-    for _ in range(50):
-        best = e.where(F.col("src") == node).select("dst", F.abs(F.col("dst") - target).alias("gap")).orderBy("gap", "dst").first()
-        if best is None or best["gap"] >= abs(node - target):
-            break
-        node = best["dst"]
-        path.append(node)
-    return spark.createDataFrame(list(enumerate(path)), "hop long, node long")
-
-
 @query("ann_hybrid_mode")
 def _(spark, d):
     """The plan for a batch search by size and recall target; at a target of 0.99 it is exact at every size."""
     e = table(spark, d, "embeddings")
-    asked = e.where("vec_id % 50 = 0")
-    if I.choose(e.count(), 10, 0.99) == "exact":
-        return R.knn_batch(e, asked, "vec_id", "embedding", 10)
-    return I.lsh_search(e, asked, "vec_id", "embedding", 64, 10)
+    return I.search(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 64, 10, 0.99)
 
 
 @query("ann_pq_encode")

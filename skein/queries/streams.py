@@ -26,6 +26,7 @@ def _(spark, d):
     return _run(spark, S.unique(S.read_events(spark, d)), "append").select("event_id")
 
 
-@query("st_user_ema")
+@query("st_user_ema", """with o as (select user_id, value, row_number() over w - 1 as i from events window w as (partition by user_id order by ts, event_id)), a as (select *, case when i = 0 then 1 else 0.1 / (1 + 0.01 * i) end as a from o),
+    c as (select *, a * exp(coalesce(sum(ln(1 - a)) over (partition by user_id order by i rows between 1 following and unbounded following), 0)) as c from a) select user_id, count(*) as n, round(sum(c * value), 5) as ema from c group by 1""")
 def _(spark, d):
-    return _run(spark, S.running_mean(S.read_events(spark, d)), "update")
+    return _run(spark, S.running_mean(S.read_events(spark, d)), "update").select("user_id", "n", F.round("ema", 5).alias("ema"))

@@ -97,7 +97,15 @@ def _(spark, d):
     return Q.bandit(episodes(spark, d), "task", ["ts", "id"], "reward").select("task", "n", r6("mean").alias("mean"), r6("spread").alias("spread"))
 
 
-@query("p_hitting_set")
+_COVER = "".join(
+    f", m{i} as (select query, arg_max(chunk, (n, -chunk)) as chunk from (select query, chunk, count(*) as n from c{i} group by all) group by 1)"
+    f", c{i + 1} as (select * from c{i} where (query, requirement) not in (select c.query, c.requirement from c{i} c join m{i} m on c.query = m.query and c.chunk = m.chunk))"
+    for i in range(5)
+)
+
+
+@query("p_hitting_set", f"""with c0 as (select distinct l_orderkey as query, l_linenumber::bigint as chunk, unnest([(l_partkey % 5)::varchar, (l_suppkey % 5)::varchar]) as requirement from lineitem){_COVER}
+    select query, chunk, step::bigint as step from ({" union all ".join(f"select *, {i + 1} as step from m{i}" for i in range(5))})""")
 def _(spark, d):
     cover = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query"), F.col("l_linenumber").cast("long").alias("chunk"), F.explode(F.array((F.col("l_partkey") % 5).cast("string"), (F.col("l_suppkey") % 5).cast("string"))).alias("requirement"))
     return Q.hitting_set(cover)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,45 @@ def parse_turtle(text: str) -> Iterator[tuple[str, str, str]]:
             yield subject, predicate, full(t)
 
 
+def npy_shards(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``(matrix, ids)``: the bytes of two .npy files for each batch of rows, a matrix of doubles and its ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                held = []
+                for x in (b.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1), b.column("id").to_numpy()):
+                    out = io.BytesIO()
+                    np.save(out, x, allow_pickle=False)
+                    held.append(out.getvalue())
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in held], ["matrix", "ids"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null").mapInArrow(run, "matrix binary, ids binary")
+
+
+def npy_rows(shards: DataFrame) -> DataFrame:
+    """``(id, vector)`` of ``(matrix, ids)`` bytes; a shard is read whole by one task, and rows of unequal number are an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for matrix, ids in zip(b.column("matrix"), b.column("ids")):
+                m, names = (np.load(io.BytesIO(x.as_py()), allow_pickle=False) for x in (matrix, ids))
+                if len(m) != len(names):
+                    raise ValueError(f"{len(m)} rows and {len(names)} ids")
+                for lo in range(0, len(m), 10_000):
+                    part = m[lo : lo + 10_000].astype(float)
+                    ends = np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 10_000], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], ["id", "vector"])
+
+    return shards.select("matrix", "ids").mapInArrow(run, "id long, vector array<double>")
+
+
+def read_npy(spark: SparkSession, matrices: str, ids: str) -> DataFrame:
+    """``(id, vector)`` of .npy files and the .npy files of their ids, which go by the same names in another folder."""
+    files = lambda path, name: spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").alias(name))
+    return npy_rows(files(matrices, "matrix").join(files(ids, "ids"), "name"))
+
+
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     """``(s, p, o, file)`` of Turtle files; a file is parsed whole by one task."""
 
