@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import decontaminate, mixing, quality_rules, simhash, token_files
-from skein.plans.scratch import materialise
+from skein.plans.scratch import discard, materialise
 from skein.sources.tables import table
 
 
@@ -48,8 +48,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, "stage")
-    return docs
+    for _, stage in STAGES[:-1]:
+        read, docs = docs, materialise(stage(spark, docs, sf_dir), "stage")
+        discard(read)  # the next stage reads what this one kept
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.plans.scratch import materialise
+from skein.plans.scratch import discard, materialise
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 40) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        pairs = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, pairs = pairs, materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old)
         now = _digest(pairs)
         if now == before:
             return _labels(pairs)

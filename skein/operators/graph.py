@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from skein.operators.components import connected_components
 from skein.operators.vectors import knn, l2
-from skein.plans.scratch import materialise
+from skein.plans.scratch import discard, materialise
 
 
 def paths(edges: DataFrame, start: DataFrame, depth: int, src: str = "src", dst: str = "dst", weight: str = "weight") -> DataFrame:
@@ -33,13 +33,15 @@ def shortest(edges: DataFrame, sources: DataFrame, max_hops: int = 10_000, bound
     """
     e = edges.select(F.col("src").alias("s"), F.col("dst").alias("t"), F.col("weight").alias("c"))
     dist = materialise(sources.select(F.col(sources.columns[0]).alias("source"), F.col(sources.columns[0]).alias("node"), F.lit(0.0).alias("dist")), "sssp")
-    front = dist
+    front, held = dist, None
     for _ in range(max_hops if steps is None else steps):
         step = front.join(e, F.col("node") == F.col("s")).groupBy("source", F.col("t").alias("node")).agg(F.min(F.col("dist") + F.col("c")).alias("new"))
         if bound is not None:
             step = step.where(F.col("new") <= bound)
         both = materialise(dist.join(step, ["source", "node"], "full_outer").select("source", "node", F.least("dist", "new").alias("dist"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("better")), "sssp")
-        dist, front = both.select("source", "node", "dist"), both.where("better").select("source", "node", "dist")
+        if held is not None:
+            discard(held)
+        held, dist, front = both, both.select("source", "node", "dist"), both.where("better").select("source", "node", "dist")
         if front.isEmpty():
             return dist
     if steps is not None:
@@ -53,7 +55,8 @@ def closure(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     n = pairs.count()
     for _ in range(max_rounds):
         longer = pairs.join(pairs.select(F.col("src").alias("m"), F.col("dst").alias("d")), F.col("dst") == F.col("m")).select("src", F.col("d").alias("dst"))
-        pairs = materialise(pairs.unionByName(longer).distinct(), "closure")
+        old, pairs = pairs, materialise(pairs.unionByName(longer).distinct(), "closure")
+        discard(old)
         now = pairs.count()
         if now == n:
             return pairs
@@ -87,7 +90,8 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
         votes = both.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.count("*").alias("n"))
-        labels = materialise(votes.groupBy(F.col("src").alias("node")).agg(F.max_by("label", F.struct("n", (-F.col("label")).alias("k"))).alias("label")), "labels")
+        old, labels = labels, materialise(votes.groupBy(F.col("src").alias("node")).agg(F.max_by("label", F.struct("n", (-F.col("label")).alias("k"))).alias("label")), "labels")
+        discard(old)
     return labels
 
 
@@ -126,7 +130,8 @@ def local_moves(edges: DataFrame, rounds: int = 6) -> DataFrame:
         rest = F.col("size") - F.when(F.col("label") == F.col("old"), F.col("k")).otherwise(0)
         ahead = F.col("label") <= F.col("old") if r % 2 == 0 else F.col("label") >= F.col("old")
         gain = F.struct((F.col("inside") - F.col("k") * rest / total).alias("g"), (-F.col("label")).alias("low"))
-        labels = materialise(votes.where(ahead).groupBy("node").agg(F.max_by("label", gain).alias("label"), F.first("k").alias("k")), "moves")
+        before, labels = labels, materialise(votes.where(ahead).groupBy("node").agg(F.max_by("label", gain).alias("label"), F.first("k").alias("k")), "moves")
+        discard(before)
     return labels.select("node", "label")
 
 
@@ -210,7 +215,8 @@ def greedy_walks(edges: DataFrame, nodes: DataFrame, queries: DataFrame, start,
         best = near.groupBy("of").agg(F.min(F.struct("new", "dst")).alias("b"))
         j = walks.join(best, F.col("query") == F.col("of"), "left")
         moved = F.col("b").isNotNull()
-        walks = materialise(j.select("query", "q", F.when(moved, F.col("b.dst")).otherwise(F.col("node")).alias("node"), F.when(moved, F.col("b.new")).otherwise(F.col("gap")).alias("gap"), F.when(moved, F.lit(hop)).otherwise(F.col("hops")).alias("hops"), moved.alias("moves")), "walks")
+        old, walks = walks, materialise(j.select("query", "q", F.when(moved, F.col("b.dst")).otherwise(F.col("node")).alias("node"), F.when(moved, F.col("b.new")).otherwise(F.col("gap")).alias("gap"), F.when(moved, F.lit(hop)).otherwise(F.col("hops")).alias("hops"), moved.alias("moves")), "walks")
+        discard(old)
         if walks.where("moves").isEmpty():
             break
     return walks.select("query", "node", "hops")

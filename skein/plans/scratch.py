@@ -37,10 +37,9 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 def release(spark: SparkSession) -> int:
     """Delete what this driver has put into the shared folder, for a caller that is done with its results; how many paths went."""
-    jvm, gone = spark.sparkContext._jvm, 0
+    gone = 0
     while _made:
-        place = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        gone += place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        gone += _delete(spark, _made.pop())
     return gone
 
 
@@ -62,4 +61,19 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``materialise`` gave, once nothing reads it any more; other tables stay."""
+    path = getattr(df, "_scratch", None)
+    if path in _made:
+        _made.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

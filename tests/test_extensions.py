@@ -311,3 +311,17 @@ def test_tools(spark):
     cover = spark.createDataFrame([(1, 1, "p"), (1, 2, "q")], "query long, chunk long, requirement string")
     (row,) = api.recall_with_certificate(chunks, cover).collect()
     assert row.chunks == 2 and len(row.root) == 64
+
+
+def test_loops_leave_one_table_each(spark):
+    import os
+
+    from skein.operators.components import connected_components
+    from skein.plans import scratch
+
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(12)], "src long, dst long, weight double")
+    for loop, most in ((lambda: connected_components(e), 1), (lambda: graph.closure(e), 1), (lambda: graph.shortest(e, spark.createDataFrame([(0,)], "n long")), 2)):
+        before = set(scratch._made)
+        out = loop()
+        left = set(scratch._made) - before
+        assert out.count() >= 12 and len(left) <= most and all(os.path.isdir(p.removeprefix("file://")) for p in left)
