@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.plans.scratch import materialise
+from skein.plans.scratch import discard, materialise
 
 #: Line endings of attribution lines.
 ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
@@ -106,9 +106,12 @@ def parents(parsed: DataFrame) -> DataFrame:
 
 def threads(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``(conv_id, turn, parent, root, depth)`` by pointer doubling; a parent that answers nothing is a root."""
-    at = links.select("conv_id", "turn", "parent", F.col("parent").alias("root"), F.lit(1).alias("depth"))
+    at, held = links.select("conv_id", "turn", "parent", F.col("parent").alias("root"), F.lit(1).alias("depth")), None
     for _ in range(max_rounds):
-        at = materialise(at, "threads")
+        at, old = materialise(at, "threads"), held
+        held = at
+        if old is not None:
+            discard(old)
         up = at.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"))
         met = (F.col("conv_id") == F.col("c")) & (F.col("root") == F.col("t"))
         if at.join(up, met, "left_semi").isEmpty():
