@@ -63,6 +63,13 @@ def _(spark, d):
     return R.similar_pairs(_emb(spark, d), _asked(spark, d), "vec_id", "embedding", 0.2).select("query", "id", r6("score").alias("score"))
 
 
+@query("sup_matrix_rows", f"with {PAIRS} select query, id, round(score, 6) as score, rank::bigint as rank from t where rank <= 3")
+def _(spark, d):
+    """The three greatest entries in each row of the query set."""
+    top = R.knn_batch(_emb(spark, d), _asked(spark, d), "vec_id", "embedding", 3)
+    return top.select("query", "id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("sup_gpu_pairwise", f"with n as (select count(*) as n from embeddings) select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.{DBL}, b.{DBL}), 6) as score from embeddings a, n join embeddings b on b.vec_id = (a.vec_id + 1) % n")
 def _(spark, d):
     """Rows of two aligned tables, compared one by one."""

@@ -325,3 +325,16 @@ def test_loops_leave_one_table_each(spark):
         out = loop()
         left = set(scratch._made) - before
         assert out.count() >= 12 and len(left) <= most and all(os.path.isdir(p.removeprefix("file://")) for p in left)
+
+
+def test_backends(spark, tmp_path):
+    from skein.backends import LearningStore, Reasoner
+
+    tree = spark.createDataFrame([(3, 1), (4, 2), (5, 3), (5, 4), (6, 7), (7, 6)], "src long, dst long")
+    r = Reasoner(tree, spark.createDataFrame([(1, 2)], "a long, b long"))
+    assert r.is_subclass(5, 1) and not r.is_subclass(1, 5) and r.is_subclass(9, 9)
+    assert {(x.rule, x.node) for x in r.violations().collect()} == {("disjoint", 5), ("cycle", 6), ("cycle", 7)}
+    e = spark.createDataFrame([(1, 1, 10, "a", 0.9, True, 5), (2, 1, 20, "b", 0.2, False, 5), (3, 2, 10, "b", 0.4, True, 7)], "id long, session_id long, ts long, task string, reward double, success boolean, latency long")
+    store = LearningStore(spark, f"file://{tmp_path}/experiences").add(e.where("id < 3")).add(e.where("id = 3"))
+    assert {(x.session_id, x.task) for x in store.predict(e).collect()} == {(1, "a"), (2, "b")}
+    assert {x.task: x.n for x in store.metrics("task").collect()} == {"a": 1, "b": 2}
