@@ -73,7 +73,7 @@ def join_planes(planes: list[bytes], n: int, bits: bool = False) -> np.ndarray:
 
 
 class ShardWriter:
-    """Appends documents to a binary stream; memory stays at one block."""
+    """Appends documents to a binary stream; memory is a block of ids, an id and a length for each document, and a few bytes for each block."""
 
     def __init__(self, out, bits: bool = False, block: int = BLOCK, level: int = 3):
         self.out, self.bits, self.block = out, bits, block
@@ -216,6 +216,8 @@ class Encoder:
 
     def _tail(self, text: str) -> bytes:
         if text not in self.tails:
+            if len(self.tails) > self.limit:
+                self.tails = {"": b""}
             self.tails[text] = self._whole(text)
         return self.tails[text]
 
@@ -294,6 +296,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, bi
         yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "n_docs": [n_docs], "n_ids": [writer.ids]}, pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     found = sorted(dealt.mapInArrow(run, "shard int, file string, n_docs long, n_ids long").collect())
+    _sweep(spark, path)
     first, index = 0, []
     for shard, file, n_docs, n_ids in found:
         index.append((shard, file, first, n_docs, n_ids))
@@ -301,6 +304,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, bi
     return spark.createDataFrame(index, "shard int, file string, first long, n_docs long, n_ids long")
 
 
+def _sweep(spark: SparkSession, path: str) -> None:
+    """Delete what lost attempts have left under temporary names."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for left in store.globStatus(hadoop.Path(f"{path}/_trial-*")) or []:
+        store.delete(left.getPath(), False)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
