@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
-from skein.plans.scratch import fresh_name, materialise
+from skein.plans.scratch import materialise
 
 RATE = 0.1
 BLOCK_CHARS = 1_000_000
@@ -217,14 +218,24 @@ def _finder(block: list, rate: float, kind: pa.DataType):
     return run
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` in whose text no item is found, with their own columns.
 
-    The verdict goes back by id and the text's hash, nulls equal: a row without an id is
-    judged by its own text, and so is each of several rows that share an id.
+    Rows go or stay where they are read, by their own text whatever their id; no text moves.
     """
-    hashed = docs.withColumn(key := fresh_name(docs, "key"), F.xxhash64(text_col))
-    named = hashed.select(F.struct(id_col, key).alias("id"), F.col(text_col).alias("text"))
-    leaks = matches(named, benchmark, id_col="id", text_col="text", **options).select(F.col("doc_id").alias(of := fresh_name(docs, "of"))).distinct()
-    leaks = materialise(leaks, "leaked")  # stored, so its size is known: few leaks are broadcast and no text moves
-    return hashed.join(leaks, hashed[id_col].eqNullSafe(F.col(f"{of}.{id_col}")) & (hashed[key] == F.col(f"{of}.{key}")), "left_anti").drop(key)
+    left = None
+    for block in blocks(benchmark, item_col, item_text_col, block_chars):
+        left = docs if left is None else materialise(left, "clean")
+        rows = left.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+        left = rows.mapInArrow(_without(block, rate), StructType([StructField("row", left.schema)])).select("row.*")
+    return docs if left is None else left
+
+
+def _without(block: list, rate: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(block, rate)
+        for b in batches:
+            clean = [not matcher.find(normalise(x.as_py())) for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("row").filter(pa.array(clean, pa.bool_()))], ["row"])
+
+    return run

@@ -17,8 +17,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from skein.plans.scratch import fresh_name, materialise
+from skein.plans.scratch import materialise
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -67,7 +68,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``(doc_id, host, *MEASURES)`` of every whole text, batch by batch."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
-    fields = ", ".join(f"{m} long" for m in MEASURES)
+    out = StructType([StructField("doc_id", docs.schema[id_col].dataType), StructField("host", StringType()), *(StructField(m, LongType()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,7 +76,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
             columns = [pa.array([r[i] for r in found], pa.int64()) for i in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("host"), *columns], ["doc_id", "host", *MEASURES])
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, host string, {fields}")
+    return rows.mapInArrow(run, out)
 
 
 def with_failures(measured: DataFrame) -> DataFrame:
@@ -114,16 +115,14 @@ def _beta(mean: float | None, var: float | None) -> tuple[float, float]:
     return m * total, (1 - m) * total
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", strict_above: float = 0.5, needed: int = 2) -> DataFrame:
-    """Measures, ``base_failed`` and ``kept`` for every row of ``docs``.
-
-    A document that passes the base rules goes only if it fails ``needed`` soft
-    rules, or a single one that its host is strict about: a bad host tightens
-    the rules for its documents, and never condemns a clean one.
-    """
-    judged = with_failures(materialise(measures(docs, id_col, text_col, host_col), "measures"))
+def stored_verdicts(judged: DataFrame, strict_above: float = 0.5) -> DataFrame:
+    """``(verdict_host, strict_<rule>...)``, stored, so that its size is known: a small table is broadcast and no document moves."""
     strict = host_verdicts(judged, strict_above).select(F.col("host").alias("verdict_host"), *[f"strict_{r}" for r in RULES])
-    strict = materialise(strict, "verdicts")  # stored, so its size is known: a small one is broadcast and no document moves
+    return materialise(strict, "verdicts")
+
+
+def decide(judged: DataFrame, strict: DataFrame, needed: int = 2) -> DataFrame:
+    """The judged rows with ``kept`` and ``n_failed`` under their hosts' verdicts."""
     joined = judged.join(strict, F.col("host") == F.col("verdict_host"), "left")
     failures = sum((F.col(f"fail_{r}").cast("int") for r in RULES), F.lit(0))
     condemned = F.lit(False)
@@ -133,15 +132,23 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     return joined.select("doc_id", "host", *MEASURES, "base_failed", kept.alias("kept"), failures.alias("n_failed"))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", strict_above: float = 0.5, needed: int = 2) -> DataFrame:
+    """Measures, ``base_failed`` and ``kept`` for every row of ``docs``.
+
+    A document that passes the base rules goes only if it fails ``needed`` soft
+    rules, or a single one that its host is strict about: a bad host tightens
+    the rules for its documents, and never condemns a clean one.
+    """
+    judged = with_failures(materialise(measures(docs, id_col, text_col, host_col), "measures"))
+    return decide(judged, stored_verdicts(judged, strict_above), needed)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", strict_above: float = 0.5, needed: int = 2) -> DataFrame:
     """The rows of ``docs`` that no verdict rejects, with their own columns.
 
-    The verdict goes back by id and a hash of text and host, nulls equal: a row without an
-    id is judged by its own text, and so is each of several rows that share an id.
+    Texts are measured twice, for the hosts' sums and again where each row is kept or goes:
+    a row is judged by its own text whatever its id, and no text moves.
     """
-    key, of = fresh_name(docs, "key"), fresh_name(docs, "of")
-    hashed = docs.withColumn(key, F.xxhash64(text_col, host_col))
-    named = hashed.select(F.struct(F.col(id_col).alias("id"), F.col(key).alias("key")).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
-    gone = judge(named, "id", "text", "host", **options).where("not kept").select(F.col("doc_id").alias(of)).distinct()
-    gone = materialise(gone, "gone")  # stored, so its size is known: few are broadcast and no document moves
-    return hashed.join(gone, hashed[id_col].eqNullSafe(F.col(f"{of}.id")) & (hashed[key] == F.col(f"{of}.key")), "left_anti").select(*[hashed[c] for c in docs.columns])
+    judged = with_failures(materialise(measures(docs, id_col, text_col, host_col), "measures"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
+    return decide(with_failures(measures(rows, "row", "text", "host")), stored_verdicts(judged, strict_above), needed).where("kept").select("doc_id.*")
