@@ -170,7 +170,7 @@ class Encoder:
     are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.kept, self.old = Tokenizer.from_file(path), limit, {}, {}
@@ -237,10 +237,14 @@ class Encoder:
             pieces = body.replace("\n", " \n").split(" ")
             if pieces[0]:
                 pieces[0] = "\n" + pieces[0]  # no space before it, like a word after a newline
-            found = list(map(get, pieces[1:] if not pieces[0] else pieces))
-            cut.append((pieces, found, text[len(body) :]))
-            if None in found:
-                new.update((p, None) for p, x in zip(pieces[1:] if not pieces[0] else pieces, found) if x is None)
+            after_space = not pieces[0]
+            if after_space:
+                del pieces[0]
+            found, lacking = list(map(get, pieces)), []
+            for _ in range(found.count(None)):
+                lacking.append(found.index(None, lacking[-1] + 1 if lacking else 0))
+                new[pieces[lacking[-1]]] = None
+            cut.append((pieces, found, lacking, after_space, text[len(body) :]))
         if new:
             self._learn(list(new))
         out = []
@@ -248,14 +252,15 @@ class Encoder:
             if x is None:
                 out.append(self._whole(text))
                 continue
-            pieces, found, tail = x
-            if None in found:
-                found = list(map(self.kept.get, pieces[1:] if not pieces[0] else pieces))
+            pieces, found, lacking, after_space, tail = x
+            for i in lacking:
+                found[i] = self.kept[pieces[i]]
+            # a piece that can't stand alone is kept as None
             if None in found:
                 out.append(self._whole(text))
             else:
                 ids = b"".join(found)
-                out.append((ids[4:] if pieces[0] else ids) + self._tail(tail))
+                out.append((ids if after_space else ids[4:]) + self._tail(tail))
         return out
 
 
