@@ -182,6 +182,9 @@ class Encoder:
         self.in_pieces = len(self.newline) == 4
         self.stop = int(np.frombuffer(self.newline, "<u4")[0]) if self.in_pieces else None
         self.tails = {"": b""}
+        known = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(known.values()) + 1, bool)
+        self.opens[[i for t, i in known.items() if t[:1] == "\u0120"]] = True  # the byte-level sign for a space
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -193,7 +196,7 @@ class Encoder:
         return bool(word) and not word[0].isspace() and not word[-1].isspace()
 
     def _learn(self, new: list[str]) -> None:
-        """Encode new pieces, a newline between any two; None marks those that can't stand alone."""
+        """Encode new pieces, each after a space or with a newline between any two; None marks those that can't stand alone."""
         ask, old = [], self.old
         for w in new:
             if w in old:
@@ -204,14 +207,20 @@ class Encoder:
                 self.kept[w] = core + self._tail(w[-1])
             else:
                 ask.append(w)
-        for words, lead in (([w for w in ask if w[0] != "\n"], " "), ([w for w in ask if w[0] == "\n"], "")):
+        for words, spaced in (([w for w in ask if w[0] != "\n"], True), ([w[1:] for w in ask if w[0] == "\n"], False)):
             for at in range(0, len(words), 5000):
                 part = words[at : at + 5000]
-                text = "\n".join(lead + w.removeprefix("\n") for w in part)
+                text = " " + " ".join(part) if spaced else "\n".join(part)
                 ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-                raw, p = ids.tobytes(), 0
+                raw = ids.tobytes()
+                if spaced:  # a piece begins where a token begins with the space
+                    starts = np.flatnonzero(self.opens[ids])
+                    for w, p, q in zip(part, (4 * starts).tolist(), [*(4 * starts[1:]).tolist(), len(raw)], strict=True):
+                        self.kept[w] = raw[p:q]
+                    continue
+                p = 0
                 for w, q in zip(part, [*np.flatnonzero(ids == self.stop).tolist(), len(ids)], strict=True):
-                    self.kept[w] = raw[4 * p : 4 * q] if lead else self.newline + raw[4 * p : 4 * q]
+                    self.kept["\n" + w] = self.newline + raw[4 * p : 4 * q]
                     p = q + 1
 
     def _tail(self, text: str) -> bytes:
