@@ -192,7 +192,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("the keys cover up to 3 differing bits")
     fps = fps.select("fp").where("fp is not null")
     differ = F.bit_count(F.col("home").bitwiseXOR(F.col("near")))
-    pairs = _keyed(fps, False).join(_keyed(fps, True).withColumnRenamed("key", "near_key"), (F.col("key") == F.col("near_key")) & (differ >= 1) & (differ <= radius))
+    near = _keyed(fps, True).withColumnRenamed("key", "near_key").hint("merge")  # the plan takes a side for as small as its fingerprints and would send it through the driver
+    pairs = _keyed(fps, False).join(near, (F.col("key") == F.col("near_key")) & (differ >= 1) & (differ <= radius))
     return pairs.select(F.least("home", "near").alias("a"), F.greatest("home", "near").alias("b")).distinct()
 
 
