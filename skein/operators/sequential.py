@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from skein.plans.ordered import running
 from skein.plans.scratch import materialise
 
+#: Rows of a key that are added in order as one list.
+TOGETHER = 1024
+
 
 def q_learning(steps: DataFrame, alpha: float = 0.1, gamma: float = 0.9) -> DataFrame:
     """``(session, state, action, q)`` after one pass over ``(session, at, state, action, reward, next_state)`` in order of ``at``.
@@ -47,12 +50,16 @@ def bandit(df: DataFrame, key: str, order: list[str], reward: str, start: float
 
     Unrolled, the spread is a sum of gaps weighted by powers of 0.9; numbers and running
     sums come from ranges of a key's rows and partial sums meet, so no key is one task.
+    Rewards of up to ``TOGETHER`` rows are added one after another in order, whatever ranges
+    they lie in, so the last bits of such a mean are the same on every run.
     """
     rows = running(df.select(key, *order, F.col(reward).cast("double").alias("r")), [key], [F.col(c) for c in order], "n", {"total": F.col("r")})
     most = materialise(rows.groupBy(F.col(key).alias("of")).agg(F.max("n").alias("most")), "arms")
     so_far = F.coalesce(F.try_divide(F.col("total") - F.col("r"), F.col("n") - 1), F.lit(0.0))
     fade = F.pow(F.lit(0.9), F.col("most") - F.col("n"))
-    g = rows.join(most, F.col(key).eqNullSafe(F.col("of"))).groupBy(key).agg(F.max("n").alias("n"), F.avg("r").alias("mean"), F.sum(0.1 * fade * F.abs(F.col("r") - so_far)).alias("s"))
+    few = F.collect_list(F.when((F.col("most") <= TOGETHER) & F.col("r").isNotNull(), F.struct("n", "r")))
+    known, total = F.count("r"), F.when(F.max("most") <= TOGETHER, F.aggregate(F.array_sort(few), F.lit(0.0), lambda s, x: s + x["r"])).otherwise(F.sum("r"))
+    g = rows.join(most, F.col(key).eqNullSafe(F.col("of"))).groupBy(key).agg(F.max("n").alias("n"), F.try_divide(total, known).alias("mean"), F.sum(0.1 * fade * F.abs(F.col("r") - so_far)).alias("s"))
     return g.select(key, "n", "mean", (F.col("s") + start * F.pow(F.lit(0.9), F.col("n"))).alias("spread"))
 
 
