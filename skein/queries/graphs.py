@@ -119,7 +119,9 @@ def _(spark, d):
 
 @query("g_pareto", f"with {EP}, m as (select session_id as id, avg(reward) as r, avg(latency) as l from ep group by 1) select id from m a where not exists (select 1 from m b where b.r >= a.r and b.l <= a.l and (b.r > a.r or b.l < a.l))")
 def _(spark, d):
-    m = episodes(spark, d).groupBy(F.col("session_id").alias("id")).agg(F.avg("reward").alias("r"), F.avg("latency").alias("l"))
+    """Rewards are added as decimals, so that sessions of the same rewards tie in whatever order tasks add them."""
+    total = F.sum(F.col("reward").cast("decimal(28,18)")).cast("double")
+    m = episodes(spark, d).groupBy(F.col("session_id").alias("id")).agg(F.try_divide(total, F.count("reward")).alias("r"), F.avg("latency").alias("l"))
     return skyline(m, "r", "l").select("id")
 
 
