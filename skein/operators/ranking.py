@@ -68,32 +68,37 @@ _TOGETHER = 512
 _SCORED = "query long, id long, score double"
 
 
-def _in_blocks(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str, block: int, pick: Callable) -> DataFrame:
+def _in_blocks(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str, block: int, pick: Callable, meets: Callable | None = None) -> DataFrame:
     held, last, stored = [], None, None
     for row in queries.select(F.col(id_col), F.col(vec_col)).where(F.col(vec_col).isNotNull()).toLocalIterator():
         held.append((row[0], list(row[1])))
         if len(held) == block:
-            done = materialise(_scan(corpus, held, id_col, vec_col, pick), "neighbours")
+            done = materialise(_scan(corpus, held, id_col, vec_col, pick, meets), "neighbours")
             stored, held = done if stored is None else stored.unionByName(done), []
     if held:
-        last = _scan(corpus, held, id_col, vec_col, pick)
+        last = _scan(corpus, held, id_col, vec_col, pick, meets)
     if last is None:
         return stored if stored is not None else corpus.sparkSession.createDataFrame([], _SCORED)
     return last if stored is None else stored.unionByName(last)
 
 
-def _scan(corpus: DataFrame, held: list, id_col: str, vec_col: str, pick: Callable) -> DataFrame:
-    ids, q = np.array([h[0] for h in held], np.int64), _unit(np.array([h[1] for h in held], float))
+def _scan(corpus: DataFrame, held: list, id_col: str, vec_col: str, pick: Callable, meets: Callable | None = None) -> DataFrame:
+    """Pairs that ``pick`` takes. ``meets`` gets a batch's vectors and gives, for some queries' vectors, which pairs count at all."""
+    ids, raw = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], float)
+    q = _unit(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            own, unit = b.column("id").to_numpy(), _unit(matrix(b.column("v"))).T
+            own, vectors = b.column("id").to_numpy(), matrix(b.column("v"))
+            unit, meet = _unit(vectors).T, meets(vectors) if meets else None
             for at in range(0, len(ids), _TOGETHER):
                 asked = ids[at : at + _TOGETHER]
                 scores = q[at : at + _TOGETHER] @ unit
                 scores[asked[:, None] == own[None, :]] = -np.inf
+                if meet:
+                    scores[~meet(raw[at : at + _TOGETHER])] = -np.inf
                 rows, columns = pick(scores, own)
                 found = np.isfinite(scores[rows, columns])
                 rows, columns = rows[found], columns[found]
