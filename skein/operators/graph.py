@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,6 +86,142 @@ def cycles(closed: DataFrame) -> DataFrame:
     return both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("component")).select("component", "node")
 
 
+#: Edges of a weak component that a task takes as a whole.
+WHOLE = 200_000
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 1000, whole: int = WHOLE) -> DataFrame:
+    """``(component, node)`` as ``cycles`` gives it, without the closure: nodes that reach each other, named by the least.
+
+    Weak components of at most ``whole`` edges are searched in one piece each, many to a
+    task; larger ones by rounds over all their edges, where no task holds one of them.
+    """
+    e = materialise(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null and src <> dst").distinct(), "edges")
+    weak = connected_components(e)
+    held = materialise(e.join(weak, F.col("src") == F.col("node")).select("component", "src", "dst"), "held")
+    large = materialise(held.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > whole).select("component"), "large")
+    small = held if large.isEmpty() else held.join(large, "component", "left_anti")
+    found = small.repartition("component").sortWithinPartitions("component").mapInArrow(_strong_pieces, "component long, node long")
+    if large.isEmpty():
+        return found
+    return found.unionByName(_strong_rounds(held.join(large, "component", "left_semi").select("src", "dst"), max_rounds))
+
+
+def _strong_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strong components of edges sorted by weak component; the last one is held until it ends."""
+    held, waiting, size = None, [], 0
+
+    def found(rows: np.ndarray) -> pa.RecordBatch:
+        component, node = strongly_connected(rows[1], rows[2])
+        return pa.RecordBatch.from_arrays([pa.array(component), pa.array(node)], ["component", "node"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        waiting.append(np.array([b.column(c).to_numpy() for c in ("component", "src", "dst")], np.int64))
+        size += b.num_rows
+        if size < 2 * (held or 1):  # a component that goes on is looked at again only when as much has come
+            continue
+        rows = np.hstack(waiting)
+        cut = int(np.searchsorted(rows[0], rows[0, -1]))
+        if cut:
+            yield found(rows[:, :cut])
+        waiting, size = [rows[:, cut:]], rows.shape[1] - cut
+        held = size
+    if waiting:
+        yield found(np.hstack(waiting))
+
+
+def strongly_connected(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(component, node)`` of the nodes in strong components of two or more, by Tarjan's search without recursion."""
+    nodes, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = ends[: len(src)], ends[len(src) :]
+    order = np.argsort(a, kind="stable")
+    at, ahead = np.searchsorted(a[order], np.arange(len(nodes) + 1)).tolist(), b[order].tolist()
+    seen, low, of, stack, count = [-1] * len(nodes), [0] * len(nodes), [-1] * len(nodes), [], 0
+    following = at[:-1]
+    for root in range(len(nodes)):
+        if seen[root] >= 0:
+            continue
+        path = [root]
+        while path:
+            v = path[-1]
+            if seen[v] < 0:
+                seen[v] = low[v] = count
+                count += 1
+                stack.append(v)
+            if following[v] < at[v + 1]:
+                w = ahead[following[v]]
+                following[v] += 1
+                if seen[w] < 0:
+                    path.append(w)
+                elif of[w] < 0:
+                    low[v] = min(low[v], seen[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == seen[v]:
+                piece = [stack.pop()]
+                while piece[-1] != v:
+                    piece.append(stack.pop())
+                least = min(piece)
+                for w in piece:
+                    of[w] = least if len(piece) > 1 else len(nodes)
+    of = np.array(of, np.int64)
+    kept = np.flatnonzero(of < len(nodes))
+    return nodes[of[kept]], nodes[kept]
+
+
+def _strong_rounds(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """Strong components by colours: of the nodes that a least node reaches, those that reach it back; the others go on without them."""
+    left, out, rounds = materialise(edges.select("src", "dst").distinct(), "edges"), None, 0
+
+    def spread(marked: DataFrame, along: DataFrame) -> DataFrame:
+        """Least mark of each node or of one before it, until nothing changes."""
+        nonlocal rounds
+        before = None
+        while True:
+            now = marked.agg(F.count("*"), F.sum(F.col("mark").cast("decimal(38,0)"))).first()
+            if now == before:
+                return marked
+            before, rounds = now, rounds + 1
+            if rounds > max_rounds:
+                raise RuntimeError(f"strong components did not settle in {max_rounds} rounds")
+            sent = along.join(marked, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "mark")
+            marked = materialise(marked.unionByName(sent).groupBy("node").agg(F.min("mark").alias("mark")), "marks")
+
+    def trimmed(left: DataFrame) -> DataFrame:
+        """Edges without those whose ends have no way in or no way out, over and over."""
+        nonlocal rounds
+        n = left.count()
+        while n:
+            rounds += 1
+            if rounds > max_rounds:
+                raise RuntimeError(f"strong components did not settle in {max_rounds} rounds")
+            ins, outs = left.select(F.col("dst").alias("into")).distinct(), left.select(F.col("src").alias("from")).distinct()
+            left = materialise(left.join(ins, F.col("src") == F.col("into"), "left_semi").join(outs, F.col("dst") == F.col("from"), "left_semi"), "edges")
+            n, old = left.count(), n
+            if n == old:
+                break
+        return left
+
+    left = trimmed(left)
+    while not left.isEmpty():
+        nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
+        colour = spread(nodes.withColumn("mark", F.col("node")), left)
+        a, b = colour.select(F.col("node").alias("src"), F.col("mark").alias("ca")), colour.select(F.col("node").alias("dst"), F.col("mark").alias("cb"))
+        inside = materialise(left.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst"), "edges")
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        met = spread(colour.where("node = mark").select("node", "mark"), back)
+        joined = met.join(met.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "mark").select(F.col("mark").alias("component"), "node")
+        out = joined if out is None else out.unionByName(joined)
+        gone = met.select("node")
+        left = inside.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti")
+        left = trimmed(materialise(left, "edges"))
+    return out if out is not None else edges.select(F.col("src").alias("component"), F.col("dst").alias("node")).where("false")
+
+
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """``(node, label)`` after synchronous rounds: the commonest label among neighbours, ties to the least."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
