@@ -23,7 +23,7 @@ def _(spark, d):
 
 @query("st_dedupe", "select distinct event_id from events")
 def _(spark, d):
-    return _run(spark, S.unique(S.read_events(spark, d)), "append").select("event_id")
+    return _run(spark, S.unique(S.read_events(spark, d)).select("event_id"), "append")
 
 
 @query("st_user_ema", """with o as (select user_id, value, row_number() over w - 1 as i from events window w as (partition by user_id order by ts, event_id)), a as (select *, case when i = 0 then 1 else 0.1 / (1 + 0.01 * i) end as a from o),

@@ -52,7 +52,16 @@ def running_mean(events: DataFrame, rate: float = 0.1, fade: float = 0.01) -> Da
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now into a memory table and return it."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what is there now and return its rows.
+
+    Appended rows go to the shared folder, a folder for each batch, however many they are;
+    other modes keep a memory table, whose rows are counts and states, not events.
+    """
+    spark, rows = stream.sparkSession, f"{checkpoint}/rows"
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode != "append":
+        out.format("memory").queryName(name).start().awaitTermination()
+        return spark.table(name)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{rows}/none")  # so that a stream without rows has a table as well
+    out.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{rows}/{batch}")).start().awaitTermination()
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(rows)
