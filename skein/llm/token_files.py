@@ -44,6 +44,8 @@ from skein.plans.scratch import scratch_path
 MAGIC, VERSION = b"SKBP", 1
 _HEAD, _FOOT = struct.Struct("<4sBBHI"), struct.Struct("<QQIQ4s")
 BLOCK = 1 << 16
+#: Flags of pieces that came once; two that share a flag are only kept a little early.
+FLAGS = 1 << 22
 
 
 def split_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -164,16 +166,19 @@ class Encoder:
     Byte-level BPE cuts a text before each single space that stands between two
     other characters and around each single newline, and encodes the pieces apart.
     Pieces recur, so their ids are kept, and only new pieces go to the library,
-    many in one call. At ``limit`` pieces the store becomes the old one, whose
-    pieces move over when they recur, so at most twice as many are held. Texts
+    many in one call. A piece is kept when it comes a second time: of the first
+    time only a flag is set at its hash, as most pieces of a corpus come once. At
+    ``limit`` pieces the store becomes the old one, whose pieces move over when they
+    recur, so at most twice as many are held; flags are cleared at ``limit`` too. Texts
     with other white space or with special tokens, and tokenizers of another make,
     are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.kept, self.old = Tokenizer.from_file(path), limit, {}, {}
+        self.seen, self.n_seen = bytearray(FLAGS), 0
         made = json.loads(self.tokenizer.to_str())
         before = made.get("pre_tokenizer") or {}
         plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
@@ -195,16 +200,16 @@ class Encoder:
         word = piece[1:] if piece[:1] == "\n" else piece
         return bool(word) and not word[0].isspace() and not word[-1].isspace()
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode new pieces, each after a space or with a newline between any two; None marks those that can't stand alone."""
-        ask, old = [], self.old
+    def _learn(self, new: list[str]) -> dict[str, bytes | None]:
+        """The ids of new pieces, encoded each after a space or with a newline between any two; None marks those that can't stand alone."""
+        ask, old, kept, got = [], self.old, self.kept, {}
         for w in new:
             if w in old:
-                self.kept[w] = old[w]
+                got[w] = kept[w] = old[w]
             elif not self._apart(w):
-                self.kept[w] = None
-            elif w[-1] in ".," and w[-2:-1].isalpha() and (core := self.kept.get(w[:-1])):
-                self.kept[w] = core + self._tail(w[-1])
+                got[w] = None
+            elif w[-1] in ".," and w[-2:-1].isalpha() and (core := kept.get(w[:-1])):
+                got[w] = core + self._tail(w[-1])
             else:
                 ask.append(w)
         for words, spaced in (([w for w in ask if w[0] != "\n"], True), ([w[1:] for w in ask if w[0] == "\n"], False)):
@@ -216,12 +221,23 @@ class Encoder:
                 if spaced:  # a piece begins where a token begins with the space
                     starts = np.flatnonzero(self.opens[ids])
                     for w, p, q in zip(part, (4 * starts).tolist(), [*(4 * starts[1:]).tolist(), len(raw)], strict=True):
-                        self.kept[w] = raw[p:q]
+                        got[w] = raw[p:q]
                     continue
                 p = 0
                 for w, q in zip(part, [*np.flatnonzero(ids == self.stop).tolist(), len(ids)], strict=True):
-                    self.kept["\n" + w] = self.newline + raw[4 * p : 4 * q]
+                    got["\n" + w] = self.newline + raw[4 * p : 4 * q]
                     p = q + 1
+        seen, n = self.seen, len(self.seen)
+        for w, ids in got.items():
+            at = hash(w) % n
+            if seen[at]:
+                kept[w] = ids
+            else:
+                seen[at] = 1
+                self.n_seen += 1
+        if self.n_seen > self.limit:
+            self.seen, self.n_seen = bytearray(n), 0
+        return got
 
     def _tail(self, text: str) -> bytes:
         if text not in self.tails:
@@ -254,8 +270,7 @@ class Encoder:
                 lacking.append(found.index(None, lacking[-1] + 1 if lacking else 0))
                 new[pieces[lacking[-1]]] = None
             cut.append((pieces, found, lacking, after_space, text[len(body) :]))
-        if new:
-            self._learn(list(new))
+        got = self._learn(list(new)) if new else {}
         out = []
         for text, x in zip(texts, cut):
             if x is None:
@@ -263,8 +278,8 @@ class Encoder:
                 continue
             pieces, found, lacking, after_space, tail = x
             for i in lacking:
-                found[i] = self.kept[pieces[i]]
-            # a piece that can't stand alone is kept as None
+                found[i] = got[pieces[i]]
+            # a piece that can't stand alone has None
             if None in found:
                 out.append(self._whole(text))
             else:

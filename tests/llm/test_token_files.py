@@ -17,3 +17,14 @@ def test_endings_stay_bounded():
     got = e.encode(texts)
     assert len(e.tails) <= 52
     assert [len(x) // 4 for x in got] == [len(e.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_pieces_are_kept_when_they_come_again():
+    """Pieces that come once take no room; all ids are those of whole texts."""
+    e = token_files.Encoder(token_files.default_tokenizer())
+    texts = [f"every text x{i * 7919}y{i}, again z{i * 104729}" for i in range(3000)]
+    for lo in range(0, 3000, 64):
+        part = texts[lo : lo + 64]
+        assert e.encode(part) == [e._whole(x) for x in part]
+    assert len(e.kept) + len(e.old) < 100 and {"text", "again"} <= set(e.kept)
+    assert e.encode(texts) == [e._whole(x) for x in texts] and len(e.kept) > 5000
