@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -67,14 +67,23 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``(doc_id, host, *MEASURES)`` of every whole text, batch by batch."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
-    out = StructType([StructField("doc_id", docs.schema[id_col].dataType), StructField("host", StringType()), *(StructField(m, LongType()) for m in MEASURES)])
+    return _measured(docs.select(F.col(id_col).alias("doc_id"), _host(host_col), F.col(text_col).alias("text")))
+
+
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")
+
+
+def _measured(rows: DataFrame, inside: int | None = None) -> DataFrame:
+    """Measures of ``(doc_id, host, text)``; with ``inside`` the text is that field of the struct ``doc_id``, so that it goes to Python once."""
+    out = StructType([rows.schema["doc_id"], StructField("host", StringType()), *(StructField(m, LongType()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [measure(x.as_py()) for x in b.column("text")]
+            found = [measure(x.as_py()) for x in (b.column("text") if inside is None else b.column("doc_id").field(inside))]
             columns = [pa.array([r[i] for r in found], pa.int64()) for i in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("host"), *columns], ["doc_id", "host", *MEASURES])
+        pa.default_memory_pool().release_unused()  # workers live on beside those of later stages
 
     return rows.mapInArrow(run, out)
 
@@ -150,5 +159,6 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     a row is judged by its own text whatever its id, and no text moves.
     """
     judged = with_failures(materialise(measures(docs, id_col, text_col, host_col), "measures"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
-    return decide(with_failures(measures(rows, "row", "text", "host")), stored_verdicts(judged, strict_above), needed).where("kept").select("doc_id.*")
+    rows = docs.select(F.struct("*").alias("doc_id"), _host(host_col))
+    text = [c.lower() for c in docs.columns].index(text_col.lower())
+    return decide(with_failures(_measured(rows, text)), stored_verdicts(judged, strict_above), needed).where("kept").select("doc_id.*")

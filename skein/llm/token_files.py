@@ -24,6 +24,9 @@ empty table gives no shards and an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import io
 import json
 import struct
@@ -351,10 +354,21 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _forget() -> None:
+    """Give the encoders' memory back: workers live on beside whatever runs after the shards are written."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # C libraries without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def read_shards(index: DataFrame, path: str, id_type: str = "bigint") -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document, read back from the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         store, _ = fs.FileSystem.from_uri(path)
         for b in batches:
             for row in b.to_pylist():

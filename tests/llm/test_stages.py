@@ -90,3 +90,12 @@ def test_released_scratch_is_gone(spark):
     scratch._made[:] = keep
     with pytest.raises(Exception):
         df.count()
+
+
+def test_quality_sends_each_text_to_python_once(spark):
+    df = rows(spark, (1, GOOD, "a"), (2, "short", None)).withColumnRenamed("text", "Text")
+    found = quality_rules.keep_good(df, text_col="text")
+    assert [(r.doc_id, r.Text) for r in found.collect()] == [(1, GOOD)] and found.columns == df.columns
+    plan = found._jdf.queryExecution().analyzed().toString()
+    sent = [line for line in plan.splitlines() if "struct(doc_id" in line]
+    assert len(sent) == 1 and "AS text" not in sent[0]

@@ -28,3 +28,10 @@ def test_pieces_are_kept_when_they_come_again():
         assert e.encode(part) == [e._whole(x) for x in part]
     assert len(e.kept) + len(e.old) < 100 and {"text", "again"} <= set(e.kept)
     assert e.encode(texts) == [e._whole(x) for x in texts] and len(e.kept) > 5000
+
+
+def test_encoders_go_once_shards_are_written():
+    token_files._encoder(token_files.default_tokenizer())
+    token_files._forget()
+    assert not token_files._ENCODERS
+    assert token_files._encoder(token_files.default_tokenizer()).encode([""]) == [b""]
