@@ -1,5 +1,8 @@
 """Stages and operators on odd tables, with the rows each must keep; draws; scratch tables."""
 
+import time
+from pathlib import Path
+
 import pytest
 
 import corpus_pipeline
@@ -99,3 +102,18 @@ def test_quality_sends_each_text_to_python_once(spark):
     plan = found._jdf.queryExecution().analyzed().toString()
     sent = [line for line in plan.splitlines() if "struct(doc_id" in line]
     assert len(sent) == 1 and "AS text" not in sent[0]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def ids():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {p.name for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+
+    before, was = ids(), spark.conf.get(scratch._CLEANUP, None)
+    df = scratch.materialise(spark.range(1000).repartition(3, "id"), "shuffled")
+    assert spark.conf.get(scratch._CLEANUP, None) == was
+    for _ in range(100):  # they go in the background
+        if not ids() - before:
+            break
+        time.sleep(0.1)
+    assert ids() <= before and df.count() == 1000
